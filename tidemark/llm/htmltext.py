@@ -409,7 +409,10 @@ class _Writer:
         return self.mark(1, "div", self.prose(1, 5))
 
     def article(self, page: bool = True) -> str:
-        n = int(self.rng.integers(1, 14)) if self.chance(0.85) else int(self.rng.integers(14, 60))
+        if self.chance(0.15):  # a page of next to nothing
+            text = self.pick(self.words(1, 4) + ".", self.sentence())
+            return f"<article>{self.mark(1, 'h1', self.pick(text, self.words(1, 3)))}{self.mark(1, 'p', text)}</article>"
+        n = int(self.rng.integers(1, 14)) if self.chance(0.9) else int(self.rng.integers(14, 40))
         title = self.mark(1, self.pick("h1", "h1", "h2"), self.pick(self.words(2, 12), self.sentence())) if self.chance(0.85) else ""
         if title and self.chance(0.15):
             title = f"<header>{title}</header>"
@@ -443,7 +446,7 @@ class _Writer:
 _LABEL = re.compile(r'data-y="([01])"')
 
 
-def training_set(pages: int = 700, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def training_set(pages: int = 500, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the nodes of invented pages; nodes that hold both kinds of text have none."""
     writer = _Writer(seed)
     xs, ys = [], []
@@ -478,9 +481,9 @@ class _Labelled(Page):
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 700, seed: int = 3) -> Trees:
+def trained(pages: int = 500, seed: int = 3) -> Trees:
     """The model, fitted on invented pages; the same on every machine."""
-    return fit(*training_set(pages, seed))
+    return fit(*training_set(pages, seed), trees=40)
 
 
 def extract_pages(pages: DataFrame, model: Trees | None = None, html_col: str = "html", text_col: str = "main_text") -> DataFrame:

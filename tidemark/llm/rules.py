@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +74,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: i
     pseudo-counts of ``strength`` documents keep it there where the data say nothing.
     """
     rules = patterns.shape[1]
-    start_good, start_bad = np.array([0.05, 0.15, 0.8]), np.array([0.4, 0.2, 0.4])
+    start_good, start_bad = np.array([0.02, 0.08, 0.9]), np.array([0.3, 0.1, 0.6])
     good, bad, share = np.tile(start_good, (rules, 1)), np.tile(start_bad, (rules, 1)), prior
     one_hot = patterns[:, :, None] == np.array([-1, 0, 1])
     counts = counts.astype(float)
@@ -124,12 +123,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     counted = docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in _COUNTS))
     counted = cut(counted.withColumn("pattern", F.concat(*[(v + 1).cast("string") for v in rules.values()])))
     found = counted.groupBy("pattern").count().collect()
-    if not found:
-        table = F.create_map(F.lit(""), F.lit(0.0))
-    else:
+    scores = []
+    if found:
         patterns = np.array([[int(c) - 1 for c in r["pattern"]] for r in found])
         p = posterior(patterns, *fit(patterns, np.array([r["count"] for r in found])))
-        table = F.create_map(*chain.from_iterable((F.lit(r["pattern"]), F.lit(float(x))) for r, x in zip(found, p, strict=True)))
+        scores = [(r["pattern"], float(x)) for r, x in zip(found, p, strict=True)]
+    table = docs.sparkSession.createDataFrame(scores, "pattern string, probability double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counted.withColumn("base_failed", failed).withColumn("probability", F.element_at(table, F.col("pattern")))
+    # as many rows as there are patterns: 3**10 at most
+    out = counted.join(F.broadcast(table), "pattern").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))
