@@ -56,8 +56,8 @@ def votes() -> dict[str, Column]:
         "length": F.when(F.col("n_words") < 50, -1).when(F.col("n_words") >= 80, 1).otherwise(0),
         "word_length": F.when((mean < 2.0) | (mean > 15.0), -1).when((mean >= 3.0) & (mean <= 10.0), 1).otherwise(0),
         "symbols": _share("n_symbols", "n_words", 0.1, 0.03),
-        "dup_lines": _share("n_dup_lines", "n_lines", 0.3, 0.1),
-        "repeats": _share("n_repeat_words", "n_words", 0.4, 0.2),
+        "dup_lines": _share("n_dup_lines", "n_lines", 0.5, 0.35),
+        "repeats": _share("n_repeat_words", "n_words", 0.5, 0.3),
         "letters": F.when(F.col("n_letters") < 0.6 * F.col("word_chars"), -1).when(F.col("n_letters") >= 0.8 * F.col("word_chars"), 1).otherwise(0),
         "capitals": _share("n_upper_words", "n_words", 0.3, 0.1),
         "shouting": _share("n_shout_words", "n_words", 0.1, 0.02),
