@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks
-from .wordhash import Words
+from .wordhash import Words, shingle_hashes
 
 #: Items searched in one pass over the documents; their text and MinHash values go to every task.
 ITEMS_PER_PASS = 20_000
@@ -66,28 +66,6 @@ class Index:
         self.base = min((c[0] for c in self.classes), default=0)
 
 
-def shingle_hashes(words: Words, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles that start at each word, and which words start one.
-
-    A text of fewer words has one, of all its words. With ``at`` (byte places) only the shingles that
-    start there are returned.
-    """
-    h, inside = words.grams(k)
-    short = np.flatnonzero((words.counts < k) & (words.counts > 0))
-    if len(short):
-        # the gram of a short text must not reach into the next text
-        for t in short:
-            lo, n = words.bounds[t], int(words.counts[t])
-            alone = Words.__new__(Words)
-            alone.hash, alone.bounds, alone.counts = words.hash[lo : lo + n], np.array([0, n]), np.array([n])
-            h[lo] = alone.grams(k)[0][0]
-            inside[lo] = True
-    if at is not None:
-        where = np.searchsorted(words.starts, at)
-        return h[where], inside[where]
-    return h, inside
-
-
 def _runs(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the blocks of ``step`` places within consecutive runs of ``counts`` places, and blocks of each run."""
     blocks = -(-counts // step)

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_chunks
 from .components import connected_components
+from .wordhash import Words, mix, shingle_hashes
 
 #: A table key with more stored fingerprints than this, and the keys one bit beside it, are searched in blocks.
 HOT_KEY = 64
@@ -86,14 +87,20 @@ def _keys(fp: str, m: int, radius: int) -> tuple[F.Column, F.Column]:
     return F.array(*stored), F.concat(*sought)
 
 
-def _block_forest(distance: int):
+def _block_forest(distance: int, wide: list[str], wide_distance: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links between the block's stored and searching fingerprints."""
-        left = block.loc[block["side"] == 0, "fp"].to_numpy(np.int64)
-        right = block.loc[block["side"] == 1, "fp"].to_numpy(np.int64)
-        near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= distance
-        open_left = np.ones(len(left), bool)
-        open_right = np.ones(len(right), bool)
+        """A spanning forest of the links between the block's stored and searching nodes."""
+        left, right = block[block["side"] == 0], block[block["side"] == 1]
+
+        def apart(column: str) -> np.ndarray:
+            x, y = (side[column].to_numpy(np.int64).view(np.uint64) for side in (left, right))
+            return np.bitwise_count(x[:, None] ^ y[None, :])
+
+        near = apart("fp") <= distance
+        if wide:
+            near &= sum(apart(c).astype(np.int16) for c in wide) <= wide_distance
+        names_left, names_right = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
+        open_left, open_right = np.ones(len(left), bool), np.ones(len(right), bool)
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
         for first in range(len(left)):
@@ -107,8 +114,8 @@ def _block_forest(distance: int):
                 if len(hit):
                     (open_right if side == 0 else open_left)[hit] = False
                     queue += [(1 - side, int(y)) for y in hit]
-                    a.append(np.full(len(hit), left[x] if side == 0 else right[x]))
-                    b.append(right[hit] if side == 0 else left[hit])
+                    a.append(np.full(len(hit), names_left[x] if side == 0 else names_right[x]))
+                    b.append(names_right[hit] if side == 0 else names_left[hit])
         none = np.zeros(0, np.int64)
         out = pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
         return out[out["a"] != out["b"]]
@@ -116,44 +123,56 @@ def _block_forest(distance: int):
     return run
 
 
-def near_links(prints: DataFrame, distance: int = 4, segments: int = 3, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` that connect exactly what all pairs of distinct ``fp`` within ``distance`` bits connect.
+def near_links(nodes: DataFrame, distance: int = 4, segments: int = 3, wide: list[str] | None = None, wide_distance: int = 0, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` that connect exactly what all links between nodes would connect.
 
-    ``prints``: distinct, checkpointed fingerprints in column ``fp``. Multi-index hashing: fingerprints
+    ``nodes``: checkpointed rows with a unique long ``node`` and its fingerprint ``fp``. Two nodes are linked
+    if their fingerprints differ in at most ``distance`` bits and, where more fingerprint columns ``wide`` are
+    named, these in at most ``wide_distance`` bits together. Multi-index hashing: fingerprints
     are cut into ``segments``; two within ``distance`` bits agree up to ``distance // segments`` bits
-    (0 or 1 here) in some segment. Every fingerprint is stored under each of its segments, looks up
+    (0 or 1 here) in some segment. Every node is stored under each of its segments, looks up
     the Hamming ball around each, and whole distances are verified in the join. Around keys with more
-    than ``hot_key`` fingerprints, where near copies in their thousands would make a pair each, stored
+    than ``hot_key`` nodes, where near copies in their thousands would make a pair each, stored
     and searching rows are dealt into blocks, and every pair of blocks yields a spanning forest of its
-    links only; no pair of fingerprints is skipped.
+    links only; no pair of nodes is skipped.
     """
+    wide = wide or []
     radius = distance // segments
     if radius > 1:
         raise ValueError("distance must be below 2 * segments")
     stored, sought = _keys("fp", segments, radius)
-    held = prints.select(F.explode(stored).alias("key"), "fp")
-    seek = prints.select(F.explode(sought).alias("key"), "fp")
-    crowded = held.groupBy("key").count().where(F.col("count") > hot_key).select("key")
+    held = nodes.select(F.explode(stored).alias("key"), "node", "fp")
+    seek = nodes.select(F.explode(sought).alias("key"), "node", "fp")
+    crowded = nodes.select(F.explode(stored).alias("key")).groupBy("key").count().where(F.col("count") > hot_key).select("key")
     flips = [F.when(F.shiftright("key", 40) == i, F.array(F.lit(0), *[F.lit(1 << b) for b in range(width)])) for i, (_, width) in enumerate(_segments(segments))]
     hot = cut(crowded.select(F.explode(F.transform(F.coalesce(*flips), lambda x: F.col("key").bitwiseXOR(x))).alias("key")).distinct())
     any_hot = bool(hot.take(1))
     cold = seek.join(hot, "key", "left_anti") if any_hot else seek
-    pairs = (
-        cold.alias("s")
-        .join(held.alias("h"), (F.col("s.key") == F.col("h.key")) & (F.col("s.fp") != F.col("h.fp")) & (F.bit_count(F.col("s.fp").bitwiseXOR(F.col("h.fp"))) <= distance))
-        .select(F.col("s.fp").alias("a"), F.col("h.fp").alias("b"))
-    )
+
+    near = (F.col("s.key") == F.col("h.key")) & (F.col("s.node") != F.col("h.node")) & (F.bit_count(F.col("s.fp").bitwiseXOR(F.col("h.fp"))) <= distance)
+    pairs = cold.alias("s").join(held.alias("h"), near).select(F.col("s.node").alias("a"), F.col("h.node").alias("b"))
+    if wide:
+        # candidates are few beside the keys, so only they are joined to the other fingerprints
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in wide]), end)
+        total = F.lit(0)
+        for c in wide:
+            total = total + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+        pairs = pairs.where(total <= wide_distance).select("a", "b")
     if not any_hot:
         return pairs
     rows = held.join(hot, "key", "left_semi").withColumn("side", F.lit(0)).union(seek.join(hot, "key", "left_semi").withColumn("side", F.lit(1)))
+    if wide:
+        rows = rows.join(nodes.select("node", *wide), "node")
     rows = cut(rows)
     parts = rows.groupBy("key").agg(*[F.ceil(F.sum((F.col("side") == s).cast("long")) / block).cast("int").alias(f"n{s}") for s in (0, 1)]).where("n0 > 0 and n1 > 0")
     dealt = rows.join(parts, "key")
-    own = F.pmod(F.xxhash64("fp"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)
-    dealt = dealt.select("key", "fp", "side", own.alias("own"), F.explode(other).alias("other"))
-    dealt = dealt.select("key", "fp", "side", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("b0"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("b1"))
-    return pairs.union(dealt.groupBy("key", "b0", "b1").applyInPandas(_block_forest(distance), "a long, b long"))
+    what = ["key", "node", "fp", *wide, "side"]
+    dealt = dealt.select(*what, own.alias("own"), F.explode(other).alias("other"))
+    dealt = dealt.select(*what, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("b0"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("b1"))
+    return pairs.union(dealt.groupBy("key", "b0", "b1").applyInPandas(_block_forest(distance, wide, wide_distance), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
@@ -166,8 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, shingle_words))
     nodes = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")))
-    links = near_links(nodes.select("fp"), distance, segments)
     # fingerprints are signed longs, so they are the nodes themselves; components are renamed afterwards
+    links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), distance, segments)
     parts = cut(connected_components(links, "a", "b"))
     of = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     named = of.groupBy("part").agg(F.min("least").alias("component_id"))
@@ -176,13 +195,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, distance: int = 4, segments: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group of near copies; all columns stay.
+def _simhash(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of each of n texts from its features' hashes; ``text`` ascends."""
+    out = np.zeros(n, np.uint64)
+    if len(h):
+        counts = np.bincount(text, minlength=n)
+        full = np.flatnonzero(counts)
+        starts = (np.cumsum(counts) - counts)[full]
+        ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+#: Fingerprints that candidates are searched by, and those that similarity is judged by.
+SEARCH, JUDGE = ["k0", "k1"], ["w0", "w1", "w2", "w3"]
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, long_word: int = 6) -> DataFrame:
+    """``id_col`` and two fingerprints of the text's long words (SEARCH), and 256 bits over its word shingles (JUDGE).
+
+    One edited word changes as many shingles as they have words, so shingles tell texts apart
+    sharply but differ too much between near copies to be searched by; words differ little.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(6)]
+            for lo, hi, raw, offsets in text_chunks(batch.column(1)):
+                words, n = Words(raw, offsets, fold=True), hi - lo
+                text = words.of_text()
+                long = words.stops - words.starts >= long_word
+                # a text of short words only has them all
+                long |= (np.bincount(text, long, minlength=n) == 0)[text]
+                grams, inside = shingle_hashes(words, shingle_words)
+                features = [(text[long], mix(words.hash[long] + np.uint64(s))) for s in (1, 2)] + [(text[inside], mix(grams[inside] + np.uint64(s))) for s in (3, 4, 5, 6)]
+                for part, (t, h) in zip(parts, features, strict=True):
+                    part.append(_simhash(t, h, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.concatenate(p).view(np.int64)) for p in parts]], names=[id_col, *SEARCH, *JUDGE])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in SEARCH + JUDGE))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, distance: int = 7, segments: int = 4, judge_distance: int = 50) -> DataFrame:
+    """``id_col, component_id`` for every row of ``docs``: groups of texts whose word shingles resemble each other.
+
+    Candidates are within ``distance`` bits in either fingerprint of their long words; links are those
+    whose 256 bits over shingles differ in at most ``judge_distance``. At a resemblance of 0.8, 39 bits
+    differ on average with a standard deviation of 6, at 0.6 it is 59, and unrelated texts differ in 128.
+    Other conventions are those of ``near_duplicates``.
+    """
+    prints = cut(signatures(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, shingle_words))
+    every = SEARCH + JUDGE
+    nodes = cut(prints.where(F.col(id_col).isNotNull()).groupBy(every).agg(F.min(id_col).alias("node")))
+    # an id that repeats with different texts is one node: its rows stay together
+    links = prints.where(F.col(id_col).isNotNull()).join(nodes.withColumnsRenamed({c: f"n_{c}" for c in every}), [F.col(c) == F.col(f"n_{c}") for c in every]).where(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    single = nodes.dropDuplicates(["node"])
+    found = [near_links(single.select("node", F.col(k).alias("fp"), *JUDGE), distance, segments, JUDGE, judge_distance) for k in SEARCH]
+    parts = connected_components(found[0].union(found[1]).union(links), "a", "b")
+    out = prints.select(id_col).join(parts, F.col(id_col) == F.col("node"), "left")
+    return out.select(id_col, F.coalesce("component", id_col).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group of ``similar_groups``; all columns stay.
 
     Texts without any word are copies of one another. Rows with a null id have no group and stay;
-    rows that repeat an id stay once.
+    rows that repeat an id stay once. ``options`` are those of ``similar_groups``.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle_words, distance, segments)
+    groups = similar_groups(docs, id_col, text_col, **options)
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").take(1):
