@@ -98,8 +98,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontamination, op2_html_text, op3_quality, op4_simhash, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op8_packing, op9_secrets, op10_url_filter)
 }
 
-_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+#: Words of a text in DuckDB.
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[j : j + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j) WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, array_to_string(w[j : j + 4], ' ') AS s FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j) WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM x GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, CAST(count(*) AS DOUBLE) / n_item AS containment
+FROM ds JOIN x USING (s) JOIN n USING (item_id) GROUP BY r, doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+""",
+    "op6_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS t FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS s)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM late, LATERAL (SELECT unnest(range(s, s + 20)) AS p)),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM (SELECT word.* FROM word ANTI JOIN gone USING (doc_id, p)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op10_url_filter": """
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '(?s)^([^?#]*)', 1) ELSE '' END AS rest FROM u),
