@@ -2,7 +2,7 @@ import pytest
 
 from tidemark.functions import spark_type
 from tidemark.plans.ddl import Assembler, Column, Statement, render_expression
-from tidemark.plans.jobs import CommandError, Manager, execute, main
+from tidemark.plans.jobs import Client, CommandError, Manager, decode_rows, encode_rows, execute, main, serve
 from tidemark.plans.statements import Prepared
 
 
@@ -71,3 +71,12 @@ def test_job_life_and_errors(tmp_path, capsys):
     assert [j.name for j in m.list()] == ["p"]
     assert main([str(tmp_path), "list"]) == 0 and "progress p nop" in capsys.readouterr().out
     assert main([str(tmp_path), "start", "capture", "c1"]) == 1
+
+
+def test_client_reads_rows_and_errors(tmp_path):
+    m = Manager(str(tmp_path))
+    c = Client(lambda message: serve(m, message))
+    assert c.command("create capture c1") == [] and c.error is None
+    assert c.command("list") == [{"kind": "capture", "name": "c1", "state": "nop", "metrics": None}]
+    assert c.command("start integrate x") is None and "no integrate x" in c.error
+    assert decode_rows(encode_rows(["a", "b"], [[None, "x"], ["", None]])) == (["a", "b"], [[None, "x"], ["", None]])

@@ -1,6 +1,6 @@
 from tidemark.plans.logs import orders_base, orders_log
 from tidemark.plans.queries import QUERIES
-from tidemark.sources.trail import TargetTable, stream_trail, write_trail
+from tidemark.sources.trail import TargetTable, catalog_snapshot, read_with_archive, stream_trail, write_trail
 from tidemark.streaming import apply_batch, assemble_stream, start_apply
 
 DATA = "/root/testdata/sf0.001"
@@ -41,3 +41,25 @@ def test_open_transactions_wait_and_aborted_ones_go(spark, tmp_path):
     q = assemble_stream(stream).writeStream.format("memory").queryName("assembled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("assembled").collect()] == [(1, 2, 1, 4, "IU")]
+
+
+def test_archive_fills_what_the_primary_lost(spark, tmp_path):
+    import os
+
+    log = orders_log(spark, DATA)
+    image = log.schema["after"].dataType
+    write_trail(log, str(tmp_path / "archive"), 3)
+    files = sorted(f for f in os.listdir(tmp_path / "archive") if f.startswith("part-"))
+    (tmp_path / "primary").mkdir()
+    (tmp_path / "archive" / files[2]).rename(tmp_path / "primary" / files[2])
+    assert read_with_archive(spark, str(tmp_path / "primary"), str(tmp_path / "archive"), image).count() == log.count()
+
+
+def test_catalog_snapshot(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS snap")
+    spark.sql("CREATE TABLE IF NOT EXISTS snap.t (a INT, b STRING) USING parquet")
+    try:
+        rows = catalog_snapshot(spark, "snap").collect()
+        assert [(r["table"], r["attnum"], r["name"], r["type"]) for r in rows] == [("t", 1, "a", "int"), ("t", 2, "b", "string")]
+    finally:
+        spark.sql("DROP DATABASE snap CASCADE")

@@ -43,3 +43,42 @@ def classify(records: DataFrame) -> DataFrame:
     for (rmgr, info), kind in kinds.items():
         out = F.when((F.col("rmgr") == rmgr) & (F.col("info").bitwiseAND(F.lit(0x70 if rmgr in ("heap", "heap2", "xact") else 0xF0)) == info), kind).otherwise(out)
     return records.withColumn("kind", out)
+
+
+def old_image(log: DataFrame, keys: list[str], identity: str = "identity") -> DataFrame:
+    """Old images as a table's replica identity records them: full (f), key columns only (d, i), or nothing (n)."""
+    columns = log.schema["before"].dataType.names
+    key_only = F.struct(*[(F.col(f"before.{c}") if c in keys else F.lit(None).cast(log.schema["before"].dataType[c].dataType)).alias(c) for c in columns])
+    kept = F.when(F.col(identity) == "f", F.col("before")).when(F.col(identity).isin("d", "i"), key_only)
+    rest = F.array(*[F.lit(c) for c in columns if c not in keys])
+    missing = F.when(F.col(identity).isin("d", "i"), rest).when(F.col(identity) == "n", F.array(*map(F.lit, columns)))
+    return log.withColumns({"before": F.when(F.col("before").isNotNull(), kept), "missing_before": F.when(F.col("before").isNotNull(), missing)})
+
+
+def rebuild_update(changes: DataFrame, old: str = "old", middle: str = "middle", prefix: str = "prefix", suffix: str = "suffix") -> DataFrame:
+    """Adds ``tuple``: an update's new value from what it shares with the old one's start and end, and the part that is new."""
+    size = F.length(old)
+    tail = F.when(F.col(suffix) > 0, F.substring(F.col(old), size - F.col(suffix) + 1, F.col(suffix))).otherwise(F.substring(F.col(old), 1, F.lit(0)))
+    return changes.withColumn("tuple", F.concat(F.substring(F.col(old), F.lit(1), F.col(prefix)), F.col(middle), tail))
+
+
+def deform(tuples: DataFrame, columns: list[str], values: str = "values", nulls: str = "nulls", defaults: dict[str, str] | None = None) -> DataFrame:
+    """A column for each attribute of a tuple: ``values`` holds those that aren't null, ``nulls`` says which are.
+
+    A tuple that is older than a column is shorter, and takes the column's default.
+    """
+    defaults = defaults or {}
+
+    def attribute(i: int, name: str):
+        null = F.get(nulls, F.lit(i))
+        before = F.size(F.filter(F.slice(nulls, 1, i), lambda b: ~b)) if i else F.lit(0)
+        return F.when(null.isNull(), F.lit(defaults.get(name))).when(~null, F.get(values, before)).alias(name)
+
+    rest = [c for c in tuples.columns if c not in (values, nulls)]
+    return tuples.select(*rest, *[attribute(i, n) for i, n in enumerate(columns)])
+
+
+def catalog_column(rows: DataFrame, positions: dict[int, dict[str, int]], name: str, version: str = "version", values: str = "values") -> DataFrame:
+    """Adds ``name``: a catalog row's value at the place that the column has in the catalog's version."""
+    at = F.create_map(*[x for v, places in positions.items() if name in places for x in (F.lit(v), F.lit(places[name]))])
+    return rows.withColumn(name, F.get(values, F.element_at(at, F.col(version))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import time
 from collections.abc import Callable
@@ -185,6 +186,92 @@ def execute(manager: Manager, line: str, out: Callable[[str], None] = print, rou
         getattr(manager, verb)(args[0], args[1])
 
 
+def encode_command(line: str) -> bytes:
+    """A command as it travels: its length in 4 bytes, then its text."""
+    raw = line.encode()
+    return struct.pack(">I", len(raw)) + raw
+
+
+def encode_rows(columns: list[str], rows: list[list[str | None]], error: str | None = None) -> bytes:
+    """A result: an error text, or column names and rows with a bitmap of nulls each."""
+    out = [struct.pack(">?", error is not None)]
+
+    def put(text: str) -> None:
+        raw = text.encode()
+        out.append(struct.pack(">I", len(raw)) + raw)
+
+    if error is not None:
+        put(error)
+        return b"".join(out)
+    out.append(struct.pack(">HI", len(columns), len(rows)))
+    for c in columns:
+        put(c)
+    for row in rows:
+        bits = bytearray((len(row) + 7) // 8)
+        for i, v in enumerate(row):
+            if v is None:
+                bits[i // 8] |= 1 << i % 8
+        out.append(bytes(bits))
+        for v in row:
+            if v is not None:
+                put(v)
+    return b"".join(out)
+
+
+def decode_rows(data: bytes) -> tuple[list[str], list[list[str | None]]]:
+    """Column names and rows of a result; raises the error that it holds."""
+    at = 1
+
+    def take() -> str:
+        nonlocal at
+        (n,) = struct.unpack_from(">I", data, at)
+        at += 4 + n
+        return data[at - n : at].decode()
+
+    if data[0]:
+        raise CommandError(take())
+    width, count = struct.unpack_from(">HI", data, at)
+    at += 6
+    columns = [take() for _ in range(width)]
+    rows: list[list[str | None]] = []
+    for _ in range(count):
+        bits = data[at : at + (width + 7) // 8]
+        at += len(bits)
+        rows.append([None if bits[i // 8] >> i % 8 & 1 else take() for i in range(width)])
+    return columns, rows
+
+
+def serve(manager: Manager, message: bytes) -> bytes:
+    """The manager's answer to one encoded command: rows of ``list`` and ``info``, an empty result, or an error."""
+    (n,) = struct.unpack_from(">I", message)
+    line = message[4 : 4 + n].decode()
+    lines: list[str] = []
+    try:
+        execute(manager, line, lines.append, rounds=1)
+    except CommandError as e:
+        return encode_rows([], [], str(e))
+    rows: list[list[str | None]] = [[p or None for p in (x.split(" ", 3) + [""])[:4]] for x in lines]
+    return encode_rows(["kind", "name", "state", "metrics"], rows)
+
+
+class Client:
+    """Sends commands through ``transport`` (bytes to bytes) and reads the answers."""
+
+    def __init__(self, transport: Callable[[bytes], bytes]):
+        self.transport = transport
+        self.error: str | None = None
+
+    def command(self, line: str) -> list[dict[str, str | None]] | None:
+        """The rows of the result, or None with the reason in ``error``."""
+        try:
+            columns, rows = decode_rows(self.transport(encode_command(line)))
+        except CommandError as e:
+            self.error = str(e)
+            return None
+        self.error = None
+        return [dict(zip(columns, r, strict=True)) for r in rows]
+
+
 def latest_metrics(metrics: DataFrame) -> DataFrame:
     """The last value of each counter of a job; metrics: job, counter, at, value."""
     return metrics.groupBy("job", "counter").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))

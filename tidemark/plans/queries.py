@@ -574,6 +574,46 @@ def page_image_tuples(spark, d):
     return values.tuple_from_pages(images, changes).select("item", "tuple")
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey END AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'status' ELSE 'k,status' END AS missing FROM orders")
+def replica_identity(spark, d):
+    kind = F.element_at(F.array(F.lit("f"), F.lit("d"), F.lit("n")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    log = table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")).alias("before"), kind.alias("identity"))
+    out = values.old_image(log, ["k"])
+    return out.select("o_orderkey", "before.k", "before.status", F.array_join(F.coalesce("missing_before", F.array().cast("array<string>")), ",").alias("missing"))
+
+
+@query("SELECT p_partkey, substr(p_name, 1, p_size % 4) || 'new' || CASE WHEN p_size % 3 = 0 THEN '' ELSE right(p_name, p_size % 3) END AS tuple FROM part")
+def update_rebuild(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("old"), F.lit("new").alias("middle"), (F.col("p_size") % 4).alias("prefix"), (F.col("p_size") % 3).alias("suffix"))
+    return values.rebuild_update(p).select("p_partkey", "tuple")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name END AS a, p_brand AS b, CASE WHEN p_size % 3 = 0 THEN 'none' ELSE p_type END AS c FROM part")
+def tuple_deform(spark, d):
+    p = table(spark, d, "part")
+    short = F.col("p_size") % 3 == 0
+    nulls = F.concat(F.array(F.col("p_size") % 2 == 1, F.lit(False)), F.when(short, F.array().cast("array<boolean>")).otherwise(F.array(F.lit(False))))
+    held = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.col("p_brand"), F.when(~short, F.col("p_type"))))
+    return values.deform(p.select("p_partkey", held.alias("values"), nulls.alias("nulls")), ["a", "b", "c"], defaults={"c": "none"})
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE CAST(n_regionkey AS VARCHAR) END AS relname FROM nation")
+def catalog_accessor(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 2).alias("version"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("values"))
+    return values.catalog_column(rows, {0: {"relname": 0}, 1: {"relname": 1}}, "relname").select("n_nationkey", "relname")
+
+
+@query("SELECT lsn FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) AS n FROM log) WHERE n > 1 AND lsn % 7 = 0", log=True)
+def broken_chain(spark, d):
+    from pyspark.sql import Window as W
+
+    from ..sources.trail import broken_links
+
+    log = orders_log(spark, d).select("lsn", F.floor(F.col("lsn") / 1000).alias("file_id"))
+    real = F.lag("lsn").over(W.partitionBy(F.lit(0)).orderBy("lsn"))
+    return broken_links(log.withColumn("prev_lsn", F.when(F.col("lsn") % 7 == 0, -5).otherwise(F.coalesce(real, F.lit(0))))).select("lsn")
+
+
 # schema changes and statements
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,1)) AS price, 7 AS rating FROM orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +56,40 @@ def read_trail(spark: SparkSession, folder: str, image: T.DataType | None = None
     return log if after is None else log.where(F.col("commit_lsn") > after)
 
 
+def read_with_archive(spark: SparkSession, primary: str, archive: str, image: T.DataType | None = None) -> DataFrame:
+    """The log of two folders: a file that the primary no longer has is read from the archive."""
+    there = Folder(spark, primary).names()
+    older = [n for n in Folder(spark, archive).names() if n not in set(there) and not n.startswith(("_", "."))]
+    paths = [f"{primary}/{n}" for n in there if not n.startswith(("_", "."))] + [f"{archive}/{n}" for n in older]
+    return spark.read.schema(change_schema(image)).parquet(*paths)
+
+
+def broken_links(records: DataFrame, file: str = "file_id", at: str = "lsn", before: str = "prev_lsn") -> DataFrame:
+    """Records whose back pointer isn't the record before them; files are checked on their own, and at their seams."""
+    w = W.partitionBy(file).orderBy(at)
+    inner = records.withColumn("__prev", F.lag(at).over(w))
+    ends = records.groupBy(file).agg(F.max(at).alias("__end")).withColumn(file, F.col(file) + 1)
+    seams = inner.join(ends, file, "left").withColumn("__prev", F.coalesce("__prev", "__end"))
+    return seams.where(F.col("__prev").isNotNull() & (F.col("__prev") != F.col(before))).select(records.columns)
+
+
+def catalog_snapshot(spark: SparkSession, database: str) -> DataFrame:
+    """The columns of a database's tables: schema, table, attnum, name, type, not_null; a small table made on the driver."""
+    rows = [
+        (database, t.name, i, c.name, c.dataType, not c.nullable)
+        for t in spark.catalog.listTables(database)
+        if not t.isTemporary
+        for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"), 1)
+    ]
+    return spark.createDataFrame(rows, "schema string, table string, attnum int, name string, type string, not_null boolean")
+
+
+def read_table_shards(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, shards: int, **options: str) -> DataFrame:
+    """A database table over JDBC, ``shards`` ranges of a numeric key in parallel."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(shards))
+    return reader.options(**options).load()
+
+
 def stream_trail(spark: SparkSession, folder: str, image: T.DataType | None = None, files_per_trigger: int = 64) -> DataFrame:
     """The log as a stream: new files as they come, so many for each micro-batch."""
     return spark.readStream.schema(change_schema(image)).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
