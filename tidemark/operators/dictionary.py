@@ -27,20 +27,32 @@ def enrich(changes: DataFrame, *dictionaries: tuple[DataFrame, str]) -> DataFram
     return reduce(lambda d, x: d.join(x[0], x[1], "left"), dictionaries, changes)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], range_width: int | None = None) -> DataFrame:
     """``left`` with the values of the latest row of ``right`` at or before it, of the same ``by``.
 
     The two sides are laid together, sorted once within ``by``, and the latest values carried forward:
-    no pair of rows is made. A key with many changes can be salted by time range first (``as_of_ranges``).
+    no pair of rows is made. Where a key may hold a large part of all rows and ``at`` is a number,
+    ``range_width`` deals each key's rows into ranges of that width, each sorted on its own; what a range
+    begins with comes from one row for each key and range.
     """
-    order = F.struct(F.col("__at"), F.col("__side"))
-    empty = [F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values]
     l_rows = left.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(_struct(right, values)).alias("__v"))
     r_rows = right.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l_rows.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__v"))
-    del empty
-    w = W.partitionBy(*[f"__b_{b}" for b in by]).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = l_rows.unionByName(r_rows).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return out.select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+    keys = [f"__b_{b}" for b in by]
+    both = l_rows.unionByName(r_rows)
+    order = [F.col("__at"), F.col("__side")]
+    if range_width is None:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w))
+    else:
+        both = both.withColumn("__range", F.floor(F.col("__at") / range_width))
+        ends = both.groupBy(*keys, "__range").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__at"))).alias("__end"))
+        earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+        begins = ends.withColumn("__begin", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
+        begins = begins.withColumnsRenamed({k: f"__r{k}" for k in [*keys, "__range"]})
+        joined = both.join(begins, [F.col(k).eqNullSafe(F.col(f"__r{k}")) for k in [*keys, "__range"]], "left")
+        w = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        out = joined.withColumn("__last", F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__begin")))
+    return out.where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def _struct(df: DataFrame, values: list[str]) -> str:

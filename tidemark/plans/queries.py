@@ -403,6 +403,16 @@ def asof_dictionary(spark, d):
     return dictionary.as_of(e, v, ["user_id"], "ts", "since", ["version"]).select("event_id", "version")
 
 
+@query("""
+WITH v AS (SELECT user_id % 3 AS u, event_id AS version FROM events WHERE event_id % 5 = 0)
+SELECT e.event_id, max(v.version) AS version FROM events e LEFT JOIN v ON v.u = e.user_id % 3 AND v.version <= e.event_id GROUP BY e.event_id
+""")
+def asof_hot_keys(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("u"))
+    v = e.where("event_id % 5 = 0").select("u", F.col("event_id").alias("since"), F.col("event_id").alias("version"))
+    return dictionary.as_of(e, v, ["u"], "event_id", "since", ["version"], range_width=128).select("event_id", "version")
+
+
 @query("""
 SELECT k, CASE WHEN k % 11 = 0 AND xid % 2 = 0 THEN -k WHEN k % 5 = 0 THEN k + 7 WHEN k % 3 = 0 THEN k + 9 END AS oid FROM (SELECT k, CAST(floor(k / 20) AS BIGINT) AS xid FROM o)
 """, log=True)
