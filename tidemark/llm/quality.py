@@ -16,7 +16,7 @@ from .wordhash import Words, mix
 #: Features are hashed to this many bits.
 FEATURE_BITS = 18
 #: Labelled rows that the classifier is fitted on, at most.
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 _CLASS = np.full(256, 5, np.int64)
 _CLASS[0x30:0x3A] = 1
 _CLASS[0x41:0x5B] = 2
@@ -151,7 +151,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost
         counts[labels[i], rows[i]] += 1
     counts /= counts.sum(1, keepdims=True)
     ratios = np.log(counts[1] / counts[0])
-    values = [ratios[r] / max(float(np.linalg.norm(ratios[r])), 1e-12) for r in rows]
+    # one array for all rows' values: it is given back to the system as a whole
+    cuts = np.cumsum([0, *map(len, rows)])
+    flat = np.empty(cuts[-1], np.float32)
+    for a, b, r in zip(cuts, cuts[1:], rows, strict=False):
+        flat[a:b] = ratios[r] / max(float(np.linalg.norm(ratios[r])), 1e-12)
+    values = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     share = labels[train].mean()
     weight = np.where(labels == 1, cost / (2 * share), cost / (2 * (1 - share)))
     w, bias = dual_coordinate_descent([rows[i] for i in train], [values[i] for i in train], 2.0 * labels[train] - 1, weight[train], size)
@@ -186,11 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 out += [feature[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["i", "y", "f"])
 
-    got = sorted(rows.mapInArrow(run, "i long, y int, f binary").collect(), key=lambda r: r["i"])
+    got = rows.mapInArrow(run, "i long, y int, f binary").toArrow()
     # in the order of the hash again, so that no fold of the fit follows the ids
-    order = {i: n for n, (i, _) in enumerate(picked)}
-    got.sort(key=lambda r: order[r["i"]])
-    return fit([np.frombuffer(r["f"], "<i4").astype(np.int64) for r in got], np.array([r["y"] for r in got], np.int64))
+    place = {i: n for n, (i, _) in enumerate(picked)}
+    order = sorted(range(got.num_rows), key=[place[i] for i in got.column("i").to_pylist()].__getitem__)
+    f = got.column("f")
+    return fit([np.frombuffer(f[n].as_buffer(), "<i4") for n in order], np.array(got.column("y").to_pylist(), np.int64)[order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
