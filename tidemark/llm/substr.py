@@ -90,9 +90,12 @@ class Gathered:
 def _pack(items: list[tuple[bytes, tuple[int, int, int]]]) -> bytes:
     import zstandard
 
-    numbers = np.array([(d, s, np.uint64(m).view(np.int64)) for _, (d, s, m) in items], np.int64).reshape(-1, 3)
+    docs = np.array([d for _, (d, _, _) in items], np.int64)
+    starts = np.array([s for _, (_, s, _) in items], np.int32)
+    # half of a minimizer tells partners apart well enough: a chance partner is searched in vain
+    halves = np.array([m & 0xFFFFFFFF for _, (_, _, m) in items], np.uint32)
     text = b"\n".join(k for k, _ in items)
-    return zstandard.compress(struct.pack("<q", len(items)) + numbers.T.tobytes() + text, 3)
+    return zstandard.compress(struct.pack("<q", len(items)) + docs.tobytes() + starts.tobytes() + halves.tobytes() + text, 6)
 
 
 def _unpack(payload: bytes) -> Iterable[tuple[bytes, int, int, int]]:
@@ -100,8 +103,9 @@ def _unpack(payload: bytes) -> Iterable[tuple[bytes, int, int, int]]:
 
     raw = zstandard.decompress(payload)
     (n,) = struct.unpack_from("<q", raw)
-    docs, starts, hashes = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
-    return zip(raw[8 + 24 * n :].split(b"\n"), hashes.view(np.uint64).tolist(), docs.tolist(), starts.tolist(), strict=True)
+    docs = np.frombuffer(raw, np.int64, n, 8)
+    starts, halves = np.frombuffer(raw, np.int32, n, 8 + 8 * n), np.frombuffer(raw, np.uint32, n, 8 + 12 * n)
+    return zip(raw[8 + 16 * n :].split(b"\n"), halves.tolist(), docs.tolist(), starts.tolist(), strict=True)
 
 
 def _cut(length: int, shards: int):
