@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,12 @@ class Encoder:
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder that a worker keeps for all its tasks."""
+    return Encoder(path)
+
+
 class Windows:
     """At most ``limit`` open windows of ``size`` tokens; pieces are (doc_id, start, ids, doc_tokens)."""
 
@@ -216,7 +223,7 @@ def pack(
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder, windows = Encoder(tokenizer), Windows(size, open_windows, min_piece)
+        encoder, windows = encoder_of(tokenizer), Windows(size, open_windows, min_piece)
         end, number = np.array([end_id], "<u4").tobytes(), task << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
