@@ -235,6 +235,39 @@ def test_near_copies_leave_one(spark, docs, rows, empty):
     assert simhash.keep_first(empty).collect() == []
 
 
+def test_copies_with_an_added_or_cut_passage_are_found(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows, pairs = [], defaultdict(list)
+    for n in range(360):
+        words = [r.choice(vocabulary) for _ in range(r.choice([60, 300, 900]))]
+        share = r.uniform(0.12, 0.2)
+        more, less = int(len(words) * share), int(len(words) * (1 - share))
+        edited = [r.choice(vocabulary) if r.random() < 0.02 else w for w in words]
+        kinds = {"tail": words + [r.choice(vocabulary) for _ in range(more)], "head": [r.choice(vocabulary) for _ in range(more)] + words, "cut": words[:less], "edited": edited}
+        kind = list(kinds)[n % 4]
+        a, b = " ".join(words), " ".join(kinds[kind])
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+            pairs[kind].append(n)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows).repartition(3)).collect()}
+    for kind, of in pairs.items():
+        found = sum(got[2 * n] == got[2 * n + 1] for n in of)
+        print(kind, found, len(of))
+        assert len(of) > 40 and found >= 0.97 * len(of), (kind, found, len(of))
+    assert all(got[i] in (i, i - i % 2) for i, _ in rows)  # unrelated texts stay apart
+
+
+@pytest.mark.parametrize("hot,block", [(64, 1024), (2, 16)])
+def test_bands_connect_what_their_pairs_connect(spark, hot, block):
+    r = random.Random(13)
+    rows = [(i, r.getrandbits(6), [r.randrange(12), 100 + r.randrange(12)]) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "node long, w long, bands array<long>").repartition(3)
+    want = groups([i for i, _, _ in rows], lambda a, b: bool(set(rows[a][2]) & set(rows[b][2])) and (rows[a][1] ^ rows[b][1]).bit_count() <= 1)
+    got = {x["node"]: x["component"] for x in connected_components(simhash.band_links(nodes, "bands", ["w"], 1, hot, block), "a", "b").collect()}
+    assert {n: got.get(n, n) for n in want} == want
+
+
 def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3), (7, None), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
