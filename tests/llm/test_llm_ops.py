@@ -382,6 +382,23 @@ def test_recurring_lines_go_but_copies_stay(spark, empty):
     assert lines.drop_recurring_lines(empty).collect() == [] and lines.line_report(empty).collect() == []
 
 
+def test_blocks_of_lines_go_from_unrelated_texts(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    short, long, pair = [text(4) for _ in range(4)], [text(15) for _ in range(3)], [text(5), text(6)]
+    own = lambda: [text(30) for _ in range(4)]
+    rows = [(i, own() + short + own()) for i in range(20)]
+    rows += [(100 + i, own() + long + own()) for i in range(6)]  # too few for short lines
+    rows += [(200 + i, own() + pair) for i in range(12)]  # a footer
+    rows += [(300 + i, own() + short[:2] + own()) for i in range(3)]
+    near = [text(20) for _ in range(30)]
+    rows += [(400 + i, near[:i] + [text(20)] + near[i + 1 :]) for i in range(12)]
+    got = {x["doc_id"]: x["text"].split("\n") for x in lines.drop_recurring_lines(frame(spark, [(i, "\n".join(t)) for i, t in rows])).collect()}
+    block = {*short, *long, *pair}
+    for i, t in rows:
+        assert got[i] == (t if i in (0, 100, 200) else [x for x in t if x not in block]), i
+
+
 # 8
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: What stands for a variable field.
 FIELD = "<*>"
 #: Words that hold a digit, and what is left of addresses, vary.
@@ -33,30 +35,44 @@ def templates(lines: DataFrame, lead: int = 2, least_words: int = 12) -> DataFra
     return out.select(*rest, F.xxhash64("kind", n, part).alias("h"), n.alias("g"))
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, min_contexts: int = 8, lead: int = 2, least_words: int = 12) -> DataFrame:
+#: Columns that stand for a document and its near copies.
+CLASSES = ["c0", "c1", "c2", "c3"]
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and the digests CLASSES of each document: the least and the largest of two hashes over its lines.
+
+    Whole copies have equal digests, and near copies have mostly, as few of their lines differ. In unrelated
+    texts that share a block of lines a digest is equal only if it is the hash of a line of that block.
+    """
+    h = F.transform(F.filter(F.split(text_col, "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(h)).alias("h1"))
+    rows = rows.select("id", "h1", F.transform("h1", lambda x: F.xxhash64(x)).alias("h2"))
+    ends = [F.array_min("h1"), F.array_max("h1"), F.array_min("h2"), F.array_max("h2")]
+    return rows.groupBy("id").agg(*[F.min(e).alias(c) for c, e in zip(CLASSES, ends, strict=True)])
+
+
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, long_docs: int = 5, lead: int = 2, least_words: int = 12) -> DataFrame:
     """``id, drop``: for each document the numbers (from 0) of its lines that are to go.
 
-    A template is boilerplate if lines of ``min_docs`` documents or more have it, in ``min_contexts``
-    or more different contexts (the lines before and after): a line of a text that was copied as a
-    whole keeps its context, and whole copies are for near-duplicate removal. The document with the least
-    id keeps the template's lines, all others lose them.
+    A template is boilerplate if lines of ``min_docs`` documents or more have it (``long_docs`` for lines of
+    ``least_words`` tokens or more), counted without copies: by the distinct digests of ``classes`` of these
+    documents, of which the one with the largest count holds. Lines of a text that was copied as a whole stay,
+    and copies are for near-duplicate removal. The document with the least id keeps the template's lines, all others lose them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-    before = F.concat(F.array(F.lit("")), F.slice(lines, 1, n - 1))
-    after = F.concat(F.slice(lines, 2, n), F.array(F.lit("")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(lines.alias("line"), before.alias("before"), after.alias("after"))).alias("no", "x"))
-    rows = rows.where(F.trim("x.line") != "")
-    context = F.xxhash64(F.trim("x.before"), F.trim("x.after"))
-    rows = rows.select("id", "no", context.alias("context"), F.explode(F.array(tokens(F.col("x.line")))).alias("words"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(lines).alias("no", "line"))
+    rows = rows.where(F.trim("line") != "")
+    rows = rows.select("id", "no", F.explode(F.array(tokens(F.col("line")))).alias("words"))
     rows = templates(rows, lead, least_words)
-    # one context for each document and template, then counts; hot templates shrink before each shuffle
-    by_doc = rows.groupBy("h", "g", "id").agg(F.min("context").alias("context"))
-    by_context = by_doc.groupBy("h", "g", "context").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-    found = by_context.groupBy("h", "g").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts"), F.min("first").alias("first"))
-    found = found.where((F.col("docs") >= min_docs) & (F.col("contexts") >= min_contexts)).select("h", "g", "first")
-    hit = rows.select("id", "no", "h", "g").join(found, ["h", "g"]).where(F.col("id") != F.col("first"))
+    enough = F.when(F.col("g") >= least_words, long_docs).otherwise(min_docs)
+    # hot templates shrink before each shuffle; digests are looked up only for documents that share a template with enough others
+    found = rows.groupBy("h", "g", "id").agg(F.lit(1).alias("n")).groupBy("h", "g").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= enough)
+    hit = cut(rows.select("id", "no", "h", "g").join(found, ["h", "g"]))
+    held = hit.select("id", "h", "g").distinct().join(classes(docs, id_col, text_col), "id")
+    kinds = held.groupBy("h", "g").agg(F.greatest(*[F.count_distinct(c) for c in CLASSES]).alias("texts")).where(F.col("texts") >= enough)
+    hit = hit.where(F.col("id") != F.col("first")).join(kinds, ["h", "g"], "left_semi")
     return hit.groupBy("id").agg(F.collect_set("no").alias("drop"))
 
 
