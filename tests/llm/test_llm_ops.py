@@ -399,6 +399,27 @@ def test_blocks_of_lines_go_from_unrelated_texts(spark):
         assert got[i] == (t if i in (0, 100, 200) else [x for x in t if x not in block]), i
 
 
+def test_fields_anywhere_share_a_template(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    kinds = [
+        lambda: f"Posted by {word()} in {word()}",
+        lambda: f"Share this with {word()}",
+        lambda: f"This page was last changed by {word()} of our staff and is shown as it was sent by {word()} to us",
+    ]
+    rows, plain = [], set()
+    for i in range(15):
+        made = [k() for k in kinds]
+        # lines with the same leading words that share nothing else stay
+        own = [text(25), f"Posted by {text(6)}", text(25), text(3)]
+        plain |= set(own) | (set(made) if i == 0 else set())
+        rows.append((i, "\n".join([own[0], made[0], own[1], made[1], own[2], made[2], own[3]])))
+    got = {x["doc_id"]: x["text"].split("\n") for x in lines.drop_recurring_lines(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == [x for x in t.split("\n") if x in plain], i
+
+
 # 8
 
 

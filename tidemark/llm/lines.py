@@ -12,6 +12,9 @@ FIELD = "<*>"
 #: Words that hold a digit, and what is left of addresses, vary.
 _VARIABLE = r"[^\s]*[0-9][^\s]*|[^\s]+@[^\s]+|https?://[^\s]+"
 
+#: Full leaves that are sent to all tasks (16 bytes each); more are joined by a shuffle.
+BROADCAST_LEAVES = 1_000_000
+
 
 def tokens(line: Column) -> Column:
     """The words of a line, with variable-looking ones generalised to a field."""
@@ -25,6 +28,7 @@ def templates(lines: DataFrame, lead: int = 2, least_words: int = 12) -> DataFra
     The tree's first level is the token count, the next ``lead`` levels are the leading tokens. At the
     leaf a line of at least ``least_words`` tokens is in two templates, of which each generalises one
     half (the leading tokens apart) to a variable field; a shorter line is one template as it stands.
+    ``leaf_templates`` adds those with fields elsewhere.
     """
     rest = [c for c in lines.columns if c != "words"]
     n = F.size("words")
@@ -35,6 +39,26 @@ def templates(lines: DataFrame, lead: int = 2, least_words: int = 12) -> DataFra
     return out.select(*rest, F.xxhash64("kind", n, part).alias("h"), n.alias("g"))
 
 
+def leaf_templates(lines: DataFrame, lead: int = 2, least_lines: int = 5) -> DataFrame:
+    """``id, no, h, g`` of the rows of ``lines`` (id, no, words) that have the template of their leaf.
+
+    At a leaf (token count and leading tokens) of ``least_lines`` lines or more, a position whose most frequent
+    token is in over half of the lines is fixed, and any other is a variable field, wherever in the line it stands.
+    Lines that hold all fixed tokens share the template, if these are more than the leading ones and 3 of 5 tokens or more.
+    """
+    n = F.size("words")
+    rows = lines.where(n > lead).select("id", "no", "words", F.xxhash64(n, F.slice("words", 1, lead)).alias("leaf"), n.alias("g"))
+    # most leaves have one line: their words aren't counted, nor shuffled while the full leaves can be sent to all tasks
+    full = cut(rows.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= least_lines))
+    rows = cut(rows.join(F.broadcast(full) if full.count() <= BROADCAST_LEAVES else full, "leaf"))
+    counts = rows.select("leaf", "lines", F.posexplode("words").alias("at", "word")).groupBy("leaf", "at", "word").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
+    fixed = counts.where(2 * F.col("n") > F.col("lines")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("fixed"))
+    k = F.size("fixed")
+    fits = F.forall("fixed", lambda x: F.get(F.col("words"), x["at"]) == x["word"])
+    out = rows.join(fixed, "leaf").where((k > lead) & (5 * k >= 3 * F.col("g")) & fits)
+    return out.select("id", "no", F.xxhash64(F.lit(3), "leaf", "fixed").alias("h"), "g")
+
+
 #: Columns that stand for a document and its near copies.
 CLASSES = ["c0", "c1", "c2", "c3"]
 
@@ -65,7 +89,8 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(lines).alias("no", "line"))
     rows = rows.where(F.trim("line") != "")
     rows = rows.select("id", "no", F.explode(F.array(tokens(F.col("line")))).alias("words"))
-    rows = templates(rows, lead, least_words)
+    at_leaves = cut(leaf_templates(rows, lead, min(min_docs, long_docs)))
+    rows = templates(rows, lead, least_words).unionByName(at_leaves)
     enough = F.when(F.col("g") >= least_words, long_docs).otherwise(min_docs)
     # hot templates shrink before each shuffle; digests are looked up only for documents that share a template with enough others
     found = rows.groupBy("h", "g", "id").agg(F.lit(1).alias("n")).groupBy("h", "g").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= enough)
