@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans.logs import orders_log
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,14 @@ def test_greedy_bundles_equal_a_fold(spark):
 
 def test_every_query_has_sql_but_the_fold():
     assert set(QUERIES) - set(ORACLE_SQL) == {"txn_bundles_greedy"}
+
+
+def test_lsn_hex_takes_the_whole_log(spark, tmp_path):
+    rows = [(k, "O", 1.5, "1-URGENT") for k in (5, 8, 24_999, 25_008, 149_995, 600_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["lsn_hex"](spark, str(tmp_path)).collect()
+    log = [r["lsn"] for r in orders_log(spark, str(tmp_path)).select("lsn").collect()]
+    assert max(log) > 100_000 and sorted(r["lsn"] for r in got) == sorted(log)
+    for r in got:
+        p = r["lsn"] * 4294967301
+        assert (r["text"], r["back"]) == (f"{p >> 32:X}/{p & 0xFFFFFFFF:X}", p)

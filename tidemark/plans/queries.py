@@ -479,7 +479,7 @@ def set_ops(spark, d):
 
 @query("SELECT lsn, upper(printf('%X', lsn * 4294967301 >> 32)) || '/' || upper(printf('%X', (lsn * 4294967301) & 4294967295)) AS text, lsn * 4294967301 AS back FROM log WHERE lsn < 100000", log=True)
 def lsn_hex(spark, d):
-    log = orders_log(spark, d).where("lsn < 100000").withColumn("p", F.col("lsn") * 4294967301)
+    log = orders_log(spark, d).withColumn("p", F.col("lsn") * 4294967301)
     return log.select("lsn", fn.format_lsn(F.col("p")).alias("text"), fn.parse_lsn(fn.format_lsn(F.col("p"))).alias("back"))
 
 
