@@ -515,3 +515,13 @@ def test_url_rules(spark):
     assert got == want
     assert urls.judge(pages.limit(0), known).collect() == []
     assert {r["verdict"] for r in urls.judge(pages, known.limit(0)).collect()} == {"allow"}
+
+
+def test_share_of_like_siblings_at_every_size():
+    for n in (40, 80):
+        page = htmltext.Page("<html><body>" + "<p>Some words, and more of them.</p>" * n + "<div>advert</div></body></html>")
+        x = htmltext.node_features(page)
+        same = x[:, -3]
+        kids = [i for i, t in enumerate(page.tag) if t in ("p", "div")]
+        assert len(kids) == n + 1
+        assert np.allclose(same[kids], [(n if page.tag[i] == "p" else 1) / (n + 1) for i in kids])

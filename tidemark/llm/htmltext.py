@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -200,11 +201,11 @@ def node_features(page: Page) -> np.ndarray:
     for i in range(1, n):
         children[parent[i]].append(i)
     for kids in children:
-        tags = [page.tag[k] for k in kids]
+        tags = Counter(page.tag[k] for k in kids)
         for j, k in enumerate(kids):
             index[k] = j / max(len(kids) - 1, 1)
             count[k] = len(kids)
-            same[k] = tags.count(tags[j]) / len(kids) if len(kids) <= 64 else 1.0
+            same[k] = tags[page.tag[k]] / len(kids)
             prev[k] = chars[kids[j - 1]] if j else -1
     above = np.array(parent)
     above[0] = 0
