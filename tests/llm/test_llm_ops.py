@@ -525,3 +525,10 @@ def test_share_of_like_siblings_at_every_size():
         kids = [i for i, t in enumerate(page.tag) if t in ("p", "div")]
         assert len(kids) == n + 1
         assert np.allclose(same[kids], [(n if page.tag[i] == "p" else 1) / (n + 1) for i in kids])
+
+
+def test_examples_of_one_hot_source_are_no_credentials(spark):
+    shown, own = "Zq7Rt5Yb3Nm1Kx9Wv2Lp8Hd4", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    rows = [(i, f"see {shown} here", "hot") for i in range(60)] + [(100 + i, f"my {own}.", "hot") for i in range(3)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == [] for i in range(60)) and all([s["live"] for s in got[100 + i]] == [True] for i in range(3))

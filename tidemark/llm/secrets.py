@@ -50,11 +50,12 @@ def ownership(spans: DataFrame, owner: str, repository: str) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", example_owners: int = 3, example_repositories: int = 50) -> DataFrame:
     """``id_col, spans`` for every row: an array of (start, end, rank, kind, value, owners, repositories, live).
 
     Base spans (``BASE_KINDS``) are always there. A value is taken for a widely copied example if
-    ``example_owners`` or more distinct owners hold it anywhere in ``docs``, and else for one owner's
+    ``example_owners`` or more distinct owners or ``example_repositories`` or more distinct repositories
+    of whichever owners hold it anywhere in ``docs``, and else for one owner's
     credential (``live``). Spans of ``ADDED_KINDS`` are added only where their value is live and no base
     span covers them. Null texts are empty and null owners count as one owner; rows that repeat are
     scanned alike; rows without spans have an empty array. An empty table gives no rows.
@@ -66,7 +67,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     ).withColumn("th", F.xxhash64("text"))
     found = rows.select("id", "th", "owner", "repository", F.explode(candidates(rows)).alias("span")).withColumn("digest", F.sha2("span.value", 256))
     counts = ownership(found, "owner", "repository")
-    judged = found.join(counts, "digest").withColumn("live", F.col("owners") < example_owners)
+    judged = found.join(counts, "digest").withColumn("live", (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories))
     span = F.struct("span.start", "span.end", "span.rank", "span.kind", "span.value", "owners", "repositories", "live")
     base = len(BASE_KINDS)
     judged = judged.where((F.col("span.rank") < base) | F.col("live"))
