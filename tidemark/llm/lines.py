@@ -2,111 +2,119 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot, row_keys
 
 #: What stands for a variable field.
 FIELD = "<*>"
-#: Words that hold a digit, and what is left of addresses, vary.
-_VARIABLE = r"[^\s]*[0-9][^\s]*|[^\s]+@[^\s]+|https?://[^\s]+"
-
-#: Full leaves that are sent to all tasks (16 bytes each); more are joined by a shuffle.
-BROADCAST_LEAVES = 1_000_000
-
-
-def tokens(line: Column) -> Column:
-    """The words of a line, with variable-looking ones generalised to a field."""
-    varies = line.rlike("[0-9@]") | line.contains("://")
-    return F.split(F.when(varies, F.regexp_replace(F.trim(line), _VARIABLE, FIELD)).otherwise(F.trim(line)), r"\s+")
-
+#: A word that holds a digit, an @ or ://, among words with one space between them.
+_VARIABLE = r"(?<![^ ])(?=[^ 0-9@:]*+(?:[0-9@]|://|:[^ ]*[0-9@]))[^ ]+"
+#: The white space inside a line but for the space.
+_ODD = "\t\x0b\x0c\r"
+#: Distinct lines of full leaves whose places are sent to all tasks (40 bytes each); more are joined by a shuffle.
+BROADCAST_LINES = 500_000
+#: Columns that stand for a document and its near copies.
+CLASSES = ["c0", "c1", "c2", "c3"]
 
-def templates(lines: DataFrame, lead: int = 2, least_words: int = 12) -> DataFrame:
-    """The template keys ``h, g`` of each row of ``lines`` (its column ``words``), beside its other columns.
 
-    The tree's first level is the token count, the next ``lead`` levels are the leading tokens. At the
-    leaf a line of at least ``least_words`` tokens is in two templates, of which each generalises one
-    half (the leading tokens apart) to a variable field; a shorter line is one template as it stands.
-    ``leaf_templates`` adds those with fields elsewhere.
-    """
-    rest = [c for c in lines.columns if c != "words"]
-    n = F.size("words")
-    half = F.ceil(n / F.lit(2)).cast("int")
-    kinds = F.when(n >= least_words, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
-    out = lines.select(*rest, "words", F.explode(kinds).alias("kind"))
-    part = F.when(F.col("kind") == 0, F.col("words")).when(F.col("kind") == 1, F.slice("words", 1, half)).otherwise(F.concat(F.slice("words", 1, lead), F.slice("words", half + 1, half)))
-    return out.select(*rest, F.xxhash64("kind", n, part).alias("h"), n.alias("g"))
+def _once(rows: DataFrame, column: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is computed once, however often later expressions name it."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
 
 
-def leaf_templates(lines: DataFrame, lead: int = 2, least_lines: int = 5) -> DataFrame:
-    """``id, no, h, g`` of the rows of ``lines`` (id, no, words) that have the template of their leaf.
+def normal(rows: DataFrame) -> DataFrame:
+    """``line``: the column ``raw`` with one space between its words and variable-looking words generalised to a field.
 
-    At a leaf (token count and leading tokens) of ``least_lines`` lines or more, a position whose most frequent
-    token is in over half of the lines is fixed, and any other is a variable field, wherever in the line it stands.
-    Lines that hold all fixed tokens share the template, if these are more than the leading ones and 3 of 5 tokens or more.
+    It is empty for a line without a word.
     """
-    n = F.size("words")
-    rows = lines.where(n > lead).select("id", "no", "words", F.xxhash64(n, F.slice("words", 1, lead)).alias("leaf"), n.alias("g"))
-    # most leaves have one line: their words aren't counted, nor shuffled while the full leaves can be sent to all tasks
-    full = cut(rows.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= least_lines))
-    rows = cut(rows.join(F.broadcast(full) if full.count() <= BROADCAST_LEAVES else full, "leaf"))
-    counts = rows.select("leaf", "lines", F.posexplode("words").alias("at", "word")).groupBy("leaf", "at", "word").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
-    fixed = counts.where(2 * F.col("n") > F.col("lines")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("fixed"))
-    k = F.size("fixed")
-    fits = F.forall("fixed", lambda x: F.get(F.col("words"), x["at"]) == x["word"])
-    out = rows.join(fixed, "leaf").where((k > lead) & (5 * k >= 3 * F.col("g")) & fits)
-    return out.select("id", "no", F.xxhash64(F.lit(3), "leaf", "fixed").alias("h"), "g")
+    odd = reduce(Column.__or__, [F.col("raw").contains(c) for c in ("  ", *_ODD)])
+    rows = _once(rows, F.trim(F.when(odd, F.regexp_replace("raw", r"[\x20\t\x0b\x0c\r]+", " ")).otherwise(F.col("raw"))), "line").drop("raw").withColumnRenamed("line", "raw")
+    varies = F.col("raw").rlike("[0-9@:]")
+    return _once(rows, F.when(varies, F.regexp_replace("raw", _VARIABLE, FIELD)).otherwise(F.col("raw")), "line").drop("raw")
 
 
-#: Columns that stand for a document and its near copies.
-CLASSES = ["c0", "c1", "c2", "c3"]
+def _lines(docs: DataFrame, id_col: str, text_col: str, lead: int) -> DataFrame:
+    """``id, th, no, n, leaf, h`` of every line with a word: its place in the tree is the token count, then the leading tokens."""
+    rows = row_keys(docs, id_col, text_col).select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+    rows = normal(rows).where("line <> ''")
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return rows.select("id", "th", "no", F.xxhash64("line").alias("h"), F.substring_index("line", " ", lead).alias("first"), n.alias("n")).select("id", "th", "no", "n", F.xxhash64("n", "first").alias("leaf"), "h")
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and the digests CLASSES of each document: the least and the largest of two hashes over its lines.
+def leaf_templates(docs: DataFrame, base: DataFrame, by_line: DataFrame, id_col: str, text_col: str, lead: int, least: int) -> DataFrame:
+    """``leaf, h, t``: templates ``t`` of the lines (of hash ``h``) that share a leaf with others.
 
-    Whole copies have equal digests, and near copies have mostly, as few of their lines differ. In unrelated
-    texts that share a block of lines a digest is equal only if it is the hash of a line of that block.
+    At a leaf (token count and leading tokens) that lines of ``least`` documents reach, a position's token is part of
+    the template if it is in over half of the leaf's lines or, for a second template, in ``least`` of them; any other
+    position is a variable field, wherever it stands, so a leaf may hold several templates. Lines with the same fixed
+    tokens share one, if these are more than the leading ones, 3 of 5 tokens or more, and not all. Only the distinct
+    lines of such leaves are split into words, each taken from one document, and count as often as documents hold them.
     """
-    h = F.transform(F.filter(F.split(text_col, "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(h)).alias("h1"))
-    rows = rows.select("id", "h1", F.transform("h1", lambda x: F.xxhash64(x)).alias("h2"))
-    ends = [F.array_min("h1"), F.array_max("h1"), F.array_min("h2"), F.array_max("h2")]
-    return rows.groupBy("id").agg(*[F.min(e).alias(c) for c, e in zip(CLASSES, ends, strict=True)])
+    long = by_line.where(F.col("n") > lead)
+    full = long.groupBy("leaf").agg(F.sum("docs").alias("lines"), F.count("*").alias("kinds"), F.count("*").alias("weight")).where((F.col("lines") >= least) & (F.col("kinds") > 1))
+    mixed = cut(join_hot(long, cut(full.drop("kinds")), ["leaf"], "weight").select("leaf", "h", "n", "docs", "rows", "lines"))
+    place = F.min(F.struct("id", "th", "no")).alias("p")
+    places = join_hot(base.select("id", "th", "no", "leaf", "h"), mixed.select("leaf", "h", "rows"), ["leaf", "h"], "rows").groupBy("leaf", "h").agg(place)
+    places = cut(places.select("leaf", "h", "p.id", "p.th", "p.no"))
+    there = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
+    raws = row_keys(docs, id_col, text_col).join(there, ["id", "th"]).select("leaf", "h", F.get(F.split("text", "\n", -1), F.col("no")).alias("raw"))
+    words = normal(raws).select("leaf", "h", F.split("line", " ").alias("words")).dropDuplicates(["leaf", "h"])
+    words = cut(words.join(mixed.select("leaf", "h", "n", "docs", "lines"), ["leaf", "h"]).select("leaf", "h", "n", "docs", "lines", F.posexplode("words").alias("at", "word")))
+    counts = cut(words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("held"), F.count("*").alias("weight")).where(F.col("held") >= 2))
+    both = join_hot(words, counts, ["leaf", "at", "word"], "weight")
+    fixed = [F.array_sort(F.collect_list(F.when(rule, F.struct("at", "word")))).alias(f) for f, rule in (("f0", 2 * F.col("held") > F.col("lines")), ("f1", F.col("held") >= least))]
+    found = both.groupBy("leaf", "h", "n").agg(*fixed).select("leaf", "h", "n", F.explode(F.array("f0", "f1")).alias("f"))
+    k = F.size("f")
+    return found.where((k > lead) & (5 * k >= 3 * F.col("n")) & (k < F.col("n"))).select("leaf", "h", F.xxhash64(F.lit(3), "leaf", "f").alias("t")).distinct()
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, long_docs: int = 5, lead: int = 2, least_words: int = 12) -> DataFrame:
-    """``id, drop``: for each document the numbers (from 0) of its lines that are to go.
-
-    A template is boilerplate if lines of ``min_docs`` documents or more have it (``long_docs`` for lines of
-    ``least_words`` tokens or more), counted without copies: by the distinct digests of ``classes`` of these
-    documents, of which the one with the largest count holds. Lines of a text that was copied as a whole stay,
-    and copies are for near-duplicate removal. The document with the least id keeps the template's lines, all others lose them.
+    """``id, th, drop``: for each document the numbers (from 0) of its lines that are to go.
+
+    A template is boilerplate if lines of ``min_docs`` unrelated texts or more have it (``long_docs`` for lines of
+    ``least_words`` tokens or more). Texts are told apart by CLASSES: the least and the largest of two hashes over
+    their lines. Whole copies have equal digests, and near copies have mostly, as few of their lines differ; in
+    unrelated texts that share a block of lines a digest is equal only if it is the hash of a line of that block. So
+    the digest with the most values counts the texts, and it must have 2 values for each 5 texts that differ in any
+    digest: fewer is what near copies show. Lines of a text that was copied as a whole stay, and copies are for
+    near-duplicate removal. The document with the least id keeps the template's lines, all others lose them.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(lines).alias("no", "line"))
-    rows = rows.where(F.trim("line") != "")
-    rows = rows.select("id", "no", F.explode(F.array(tokens(F.col("line")))).alias("words"))
-    at_leaves = cut(leaf_templates(rows, lead, min(min_docs, long_docs)))
-    rows = templates(rows, lead, least_words).unionByName(at_leaves)
-    enough = F.when(F.col("g") >= least_words, long_docs).otherwise(min_docs)
-    # hot templates shrink before each shuffle; digests are looked up only for documents that share a template with enough others
-    found = rows.groupBy("h", "g", "id").agg(F.lit(1).alias("n")).groupBy("h", "g").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= enough)
-    hit = cut(rows.select("id", "no", "h", "g").join(found, ["h", "g"]))
-    held = hit.select("id", "h", "g").distinct().join(classes(docs, id_col, text_col), "id")
-    kinds = held.groupBy("h", "g").agg(F.greatest(*[F.count_distinct(c) for c in CLASSES]).alias("texts")).where(F.col("texts") >= enough)
-    hit = hit.where(F.col("id") != F.col("first")).join(kinds, ["h", "g"], "left_semi")
-    return hit.groupBy("id").agg(F.collect_set("no").alias("drop"))
+    doc = ["id", "th"]
+    # the one pass over all words: what follows reads hashes, and the words of few lines
+    base = cut(_lines(docs, id_col, text_col, lead))
+    held = base.groupBy("leaf", "h", "n", *doc).agg(F.count("*").alias("rows"))
+    by_line = cut(held.groupBy("leaf", "h", "n").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows")))
+    enough = F.when(F.col("n") >= least_words, long_docs).otherwise(min_docs)
+    # a line is its own template, and has up to two of its leaf
+    own = by_line.where(F.col("docs") >= enough).select("leaf", "h", F.col("h").alias("t"))
+    learnt = leaf_templates(docs, base, by_line, id_col, text_col, lead, min(min_docs, long_docs))
+    of_line = own.union(learnt).groupBy("leaf", "h").agg(F.collect_set("t").alias("ts"))
+    of_line = cut(of_line.join(by_line.select("leaf", "h", "rows"), ["leaf", "h"]))
+    hit = cut(join_hot(base, of_line, ["leaf", "h"], "rows").select(*doc, "no", "n", F.explode("ts").alias("t")))
+    of_doc = cut(hit.groupBy("t", "n", *doc).agg(F.count("*").alias("rows")))
+    found = of_doc.groupBy("t", "n").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.min(F.struct(*doc)).alias("first"))
+    found = cut(found.where(F.col("docs") >= enough))
+    h2 = F.xxhash64("h")
+    classes = base.groupBy(*doc).agg(*[f(e).alias(c) for c, (f, e) in zip(CLASSES, ((F.min, "h"), (F.max, "h"), (F.min, h2), (F.max, h2)), strict=True)])
+    seen = join_hot(of_doc.drop("rows"), found.select("t", "n", "docs"), ["t", "n"], "docs", "left_semi").join(classes, doc)
+    kinds = seen.groupBy("t", "n", *CLASSES).agg(F.lit(1).alias("one")).groupBy("t", "n").agg(F.count("*").alias("kinds"), *[F.count_distinct(c).alias(f"n_{c}") for c in CLASSES])
+    texts = F.greatest(*[F.col(f"n_{c}") for c in CLASSES])
+    going = cut(kinds.where((texts >= enough) & (5 * texts >= 2 * F.col("kinds"))).select("t", "n").join(found.select("t", "n", "rows", "first"), ["t", "n"]))
+    gone = join_hot(hit, going, ["t", "n"], "rows").where((F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th")))
+    return gone.groupBy(*doc).agg(F.collect_set("no").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs``; recurring template lines are gone from ``text_col``.
 
     Adds nothing: a document that loses every line keeps its row with an empty text. Null text stays
-    null, and rows with a null id stay as they are and don't count. Rows that repeat an id are one document. Lines
-    are what stands between ``\\n``; blank lines are never templates and stay. An empty table gives
+    null, and rows with a null id stay as they are and don't count. Rows that repeat an id with another text are
+    documents of their own; equal rows are one. Lines are what stands between ``\\n``; those without a word (a run of
+    characters other than space and 0x09-0x0D) are never templates and stay. An empty table gives
     no rows. ``options`` are those of ``recurring``.
     """
     out = _without(docs, recurring(docs, id_col, text_col, **options), id_col, text_col)
@@ -115,8 +123,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _without(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with __drop, and __lines and __kept where something goes."""
-    drop = drop.withColumnsRenamed({"id": "__id", "drop": "__drop"})
-    out = docs.join(drop, F.col(id_col) == F.col("__id"), "left")
+    drop = drop.withColumnsRenamed({"id": "__id", "th": "__th", "drop": "__drop"})
+    out = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.join(drop, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
     lines = F.when(F.col("__drop").isNotNull() & F.col(text_col).isNotNull(), F.split(text_col, "\n", -1))
     out = out.select("*", F.explode(F.array(lines)).alias("__lines"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
@@ -127,7 +136,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, n_lines, n_dropped, kept`` of every row: its lines with a word, those that go, and the text that stays (null text: empty)."""
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     out = _without(rows, recurring(docs, id_col, text_col, **options), id_col, text_col)
-    full = F.size(F.filter(F.split(text_col, "\n", -1), lambda x: F.trim(x) != ""))
+    full = F.size(F.filter(F.split(text_col, "\n", -1), lambda x: F.btrim(x, F.lit(" " + _ODD)) != ""))
     return out.select(
         id_col,
         full.cast("long").alias("n_lines"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_hot
+
 #: Hex digits of a digest that the join compares; the whole digest is compared afterwards.
 PREFIX_DIGITS = 8
 
@@ -20,10 +22,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), rest.substr(F.length(host) + 1, F.length(rest))
 
 
-def expressions(host: Column, path: Column, lengths: Column) -> Column:
-    """Every ``host suffix + path prefix``; lengths: the lengths of path prefixes that rules have."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(host: Column, path: Column, labels: Column, lengths: Column) -> Column:
+    """``host suffix + path prefix`` for each number of labels and each length of path that rules have."""
+    parts = F.filter(labels, lambda n: n <= F.size(F.split(host, r"\.")))
+    # a suffix of all labels is the host, and one of fewer is cut from its end
+    suffixes = F.transform(parts, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
     ends = F.filter(lengths, lambda n: n <= F.length(path))
     prefixes = F.transform(ends, lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("host"), p.alias("path")))))
@@ -38,7 +41,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     ``default``. Rules with a null host or path are ignored; repeated rules count once. A null url has
     empty host and path and fits no rule. Columns of ``pages`` named like the four are replaced.
 
-    Distinct hosts and paths are expanded once each, joined to the rules on a short prefix of the
+    Distinct hosts and paths are expanded once each (no further than the rules' sizes, so a long host costs no more), joined to the rules on a short prefix of the
     expression's SHA-256, and confirmed on the whole digest. Only pairs with a rule are shuffled, as
     (host, path, rule) before the rows of ``pages`` look theirs up.
     """
@@ -48,10 +51,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rows = pages.withColumns({"__host": host, "__path": path})
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = rules.withColumn("digest", F.sha2(F.concat_ws("\u0001", "r_host", "r_path"), 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    lengths = rules.agg(F.collect_set(F.length("r_path")).alias("lengths"))
-    # the only row of `lengths` goes to every task: as many numbers as rule paths have lengths
-    urls = rows.select("__host", "__path").distinct().join(F.broadcast(lengths))
-    parts = urls.select("__host", "__path", F.explode(expressions(F.col("__host"), F.col("__path"), F.col("lengths"))).alias("e"))
+    sizes = rules.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"))
+    # the only row of `sizes` goes to every task: as many numbers as rules' hosts and paths have sizes
+    urls = rows.groupBy("__host", "__path").agg(F.count("*").alias("weight")).join(F.broadcast(sizes))
+    parts = urls.select("__host", "__path", "weight", F.explode(expressions(F.col("__host"), F.col("__path"), F.col("labels"), F.col("lengths"))).alias("e"))
     parts = parts.withColumn("e_digest", F.sha2(F.concat_ws("\u0001", "e.host", "e.path"), 256)).withColumn("prefix", F.substring("e_digest", 1, PREFIX_DIGITS))
     hits = parts.join(rules, "prefix").where((F.col("e_digest") == F.col("digest")) & (F.col("e.host") == F.col("r_host")) & (F.col("e.path") == F.col("r_path")))
     order = F.struct(
@@ -61,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         F.concat("r_host", "r_path").alias("rule"),
         F.col("r_verdict").alias("verdict"),
     )
-    best = hits.groupBy("__host", "__path").agg(F.max(order).alias("best"))
-    # `<=>` isn't needed: host and path are never null
-    out = rows.join(best, ["__host", "__path"], "left")
+    best = cut(hits.groupBy("__host", "__path").agg(F.max(order).alias("best"), F.max("weight").alias("weight")))
+    # host and path are never null
+    out = join_hot(rows, best, ["__host", "__path"], "weight", "left")
     return out.select(*rest, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
