@@ -186,9 +186,8 @@ def groups(nodes, linked):
 
 
 @pytest.mark.parametrize("hot", [64, 1])
-def test_simhash_groups_are_those_of_brute_force(spark, docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT_KEY", hot)
-    got = simhash.near_duplicates(docs).collect()
+def test_simhash_groups_are_those_of_brute_force(spark, docs, rows, empty, hot):
+    got = simhash.near_duplicates(docs, hot_key=hot, block=4 if hot == 1 else 1024).collect()
     prints = {(i, t): plain_fingerprint(t, 4) for i, t in rows}
     first = {}
     for (i, _), f in prints.items():
@@ -201,8 +200,8 @@ def test_simhash_groups_are_those_of_brute_force(spark, docs, rows, empty, monke
     assert simhash.near_duplicates(empty).collect() == []
 
 
-@pytest.mark.parametrize("hot,block", [(64, 1024), (2, 16)])
-def test_links_connect_dense_clusters(spark, hot, block):
+@pytest.mark.parametrize("hot,block,segments", [(64, 1024, None), (2, 16, 3), (2, 16, 2), (64, 1024, 2), (64, 1024, 5), (3, 16, 4)])
+def test_links_connect_dense_clusters(spark, hot, block, segments):
     r = random.Random(9)
     center = r.getrandbits(64)
     values = {center}
@@ -214,7 +213,7 @@ def test_links_connect_dense_clusters(spark, hot, block):
     values |= {r.getrandbits(64) for _ in range(50)}
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
     nodes = spark.createDataFrame([(s, s) for s in signed.values()], "node long, fp long").cache()
-    links = simhash.near_links(nodes, 4, 3, hot_key=hot, block=block)
+    links = simhash.near_links(nodes, 4, segments, hot_key=hot, block=block)
     got = {x["node"]: x["component"] for x in connected_components(links, "a", "b").collect()}
     want = groups(sorted(signed.values()), lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= 4)
     assert {n: got.get(n, n) for n in want} == want

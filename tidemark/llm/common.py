@@ -44,10 +44,10 @@ FEW_KEYS = 20_000
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``keyed`` (but ``weight``) by the columns ``on``; ``how``: inner, left or left_semi.
+    """``rows`` with the columns of ``keyed`` (but ``weight``) by the columns ``on``; ``how``: inner, left, left_semi or left_anti.
 
     ``keyed`` was computed already and has one row for each key, with the number of rows that hold it (or a bound
-    of it) as ``weight``. FEW_KEYS keys or fewer go to all tasks. Of more, hot keys, HOT_SHARE at most as their weights say, go to all tasks, so their rows stay where
+    of it) as ``weight``. With ``left_anti`` the rows stay whose key it lacks. FEW_KEYS keys or fewer go to all tasks. Of more, hot keys, HOT_SHARE at most as their weights say, go to all tasks, so their rows stay where
     they are; the rows of all other keys are joined by a shuffle, in which no key is large. Keys are never null.
     """
     keys, total, most = keyed.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
@@ -58,6 +58,8 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how:
         return rows.join(keyed.drop(weight), on, how)
     hot = F.broadcast(keyed.where(F.col(weight) > limit))
     cold = keyed.where(F.col(weight) <= limit).drop(weight)
+    if how == "left_anti":
+        return rows.join(hot.select(on), on, how).join(cold, on, how)
     there = rows.join(hot.drop(weight), on, "left_semi" if how == "left_semi" else "inner")
     return there.unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on, how))
 

@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
+
+#: Links from which on a node may have more neighbours than a task should join.
+MANY_LINKS = 50_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +42,7 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 60) ->
     their own node; null ends are no links. Large-star and small-star rounds (Kiveris et al., 2014)
     alternate until the links no longer change; each round's links are checkpointed, and batches of
     links shrink to forests before every shuffle. No round brings the neighbours of one node together
-    in a task: they are only aggregated and joined.
+    in a task: they are aggregated, and what a node with very many learns goes to their tasks (``join_hot``).
     """
     e = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
     e = cut(e.mapInArrow(_forest, "u long, v long").distinct())
@@ -52,10 +55,15 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 60) ->
         if not n["n"]:
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", F.col("m").alias("v")))
+        many = n["n"] > MANY_LINKS
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("u", "m").alias("m"), "weight")
+        out = join_hot(both.where("v > u"), cut(least), ["u"], "weight") if many else both.where("v > u").join(least.drop("weight"), "u")
+        large = out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large) if many else large
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        below = cut(below) if many else below
+        out = join_hot(large, below, ["u"], "weight") if many else large.join(below.drop("weight"), "u")
+        small = out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", F.col("m").alias("v")))
         e = cut(small.where("u > v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_chunks
+from .common import cut, join_hot, row_keys, text_chunks
 from .components import connected_components
 from .wordhash import Words, mix, shingle_hashes
 
@@ -65,29 +65,57 @@ def _segments(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _beside(value: F.Column, tag: F.Column, width: int) -> F.Column:
-    """Keys with one bit more than ``value``."""
-    bits = F.array(*[F.lit(1 << b) for b in range(width)])
-    return F.transform(F.filter(bits, lambda b: value.bitwiseAND(b) == 0), lambda b: value.bitwiseOR(b).bitwiseOR(tag))
+def _radii(distance: int, m: int) -> list[int]:
+    """Radii of the balls around m segments: two fingerprints within ``distance`` bits are that near in one of them.
 
+    If every segment differed in more than its radius, all would differ in ``distance - m + 1 + m`` bits at least.
+    """
+    each, more = divmod(max(0, distance - m + 1), m)
+    return [each + (i < more) for i in range(m)]
 
-def _keys(fp: str, m: int, radius: int) -> tuple[F.Column, F.Column]:
-    """Arrays of table keys: where a fingerprint is stored, and where it looks.
 
-    It looks in the Hamming ball of its segment, but only along bits that it lacks: of two
-    fingerprints whose segments differ in one bit, the one without that bit finds the other.
-    """
+def choose_segments(distance: int, nodes: int) -> int:
+    """The number of segments with the fewest lookups and fingerprints met by them, for so many nodes."""
+
+    def cost(m: int) -> float:
+        looks = lambda w, r: (1, 1 + w / 2, 1 + w / 2 + w * (w - 1) / 4)[r]
+        return sum(looks(w, r) * (1 + nodes / 2 / 2**w) for (_, w), r in zip(_segments(m), _radii(distance, m), strict=True))
+
+    return min((m for m in range(2, distance + 2) if max(_radii(distance, m)) <= 2), key=cost)
+
+
+def _beside(value: F.Column, tag: F.Column, width: int, radius: int) -> list[F.Column]:
+    """Arrays of the keys in the ball around ``value`` that it looks up; of two that lie in each other's ball one does."""
+    lacks = F.filter(F.array(*[F.lit(1 << b) for b in range(width)]), lambda b: value.bitwiseAND(b) == 0)
+    out = [F.array(value.bitwiseOR(tag))]
+    if radius:
+        out.append(F.transform(lacks, lambda b: value.bitwiseOR(b).bitwiseOR(tag)))
+    if radius > 1:
+        two = F.array(*[F.lit((1 << a) | (1 << b)) for b in range(width) for a in range(b)])
+        # both bits are lacking, or the higher one is while the lower one goes
+        out.append(F.transform(F.filter(two, lambda x: value.bitwiseAND(x) == 0), lambda x: value.bitwiseOR(x).bitwiseOR(tag)))
+        swap = F.filter(two, lambda x: (value.bitwiseAND(x) != 0) & (value.bitwiseAND(x) == x.bitwiseAND(-x)))
+        out.append(F.transform(swap, lambda x: value.bitwiseXOR(x).bitwiseOR(tag)))
+    return out
+
+
+def _keys(fp: str, radii: list[int]) -> tuple[F.Column, F.Column]:
+    """Arrays of table keys: where a fingerprint is stored, and where it looks: in the Hamming balls of its segments."""
     stored, sought = [], []
-    for i, (shift, width) in enumerate(_segments(m)):
+    for i, ((shift, width), radius) in enumerate(zip(_segments(len(radii)), radii, strict=True)):
         value = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(F.lit((1 << width) - 1))
         tag = F.lit(i << 40)
         stored.append(value.bitwiseOR(tag))
-        sought.append(F.array(value.bitwiseOR(tag)))
-        if radius:
-            sought.append(_beside(value, tag, width))
+        sought += _beside(value, tag, width, radius)
     return F.array(*stored), F.concat(*sought)
 
 
+def _ball(width: int, radius: int) -> list[int]:
+    """What a key differs by from those in its ball."""
+    one = [1 << b for b in range(width)]
+    return [0, *one[: width if radius else 0], *([a | b for b in one for a in one if a < b] if radius > 1 else [])]
+
+
 def _block_forest(distance: int, wide: list[str], wide_distance: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         """A spanning forest of the links between the block's stored and searching nodes."""
@@ -124,31 +152,34 @@ def _block_forest(distance: int, wide: list[str], wide_distance: int):
     return run
 
 
-def near_links(nodes: DataFrame, distance: int = 4, segments: int = 3, wide: list[str] | None = None, wide_distance: int = 0, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
+def near_links(nodes: DataFrame, distance: int = 4, segments: int | None = None, wide: list[str] | None = None, wide_distance: int = 0, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` that connect exactly what all links between nodes would connect.
 
     ``nodes``: checkpointed rows with a unique long ``node`` and its fingerprint ``fp``. Two nodes are linked
     if their fingerprints differ in at most ``distance`` bits and, where more fingerprint columns ``wide`` are
-    named, these in at most ``wide_distance`` bits together. Multi-index hashing: fingerprints
-    are cut into ``segments``; two within ``distance`` bits agree up to ``distance // segments`` bits
-    (0 or 1 here) in some segment. Every node is stored under each of its segments, looks up
-    the Hamming ball around each, and whole distances are verified in the join. Around keys with more
+    named, these in at most ``wide_distance`` bits together. Multi-index hashing: fingerprints are cut into
+    ``segments``, by default as many as suit the number of nodes, and two that are near each other lie in each
+    other's Hamming ball (radius 0 to 2) in some segment. Every node is stored under each of its segments, looks up
+    the ball around each, and whole distances are verified in the join. Around keys with more
     than ``hot_key`` nodes, where near copies in their thousands would make a pair each, stored
     and searching rows are dealt into blocks, and every pair of blocks yields a spanning forest of its
     links only; no pair of nodes is skipped.
     """
     wide = wide or []
-    radius = distance // segments
-    if radius > 1:
-        raise ValueError("distance must be below 2 * segments")
-    stored, sought = _keys("fp", segments, radius)
+    radii = _radii(distance, segments or choose_segments(distance, nodes.count()))
+    if max(radii) > 2:
+        raise ValueError("more segments are needed for this distance")
+    stored, sought = _keys("fp", radii)
     held = nodes.select(F.explode(stored).alias("key"), "node", "fp")
     seek = nodes.select(F.explode(sought).alias("key"), "node", "fp")
-    crowded = nodes.select(F.explode(stored).alias("key")).groupBy("key").count().where(F.col("count") > hot_key).select("key")
-    flips = [F.when(F.shiftright("key", 40) == i, F.array(F.lit(0), *[F.lit(1 << b) for b in range(width)])) for i, (_, width) in enumerate(_segments(segments))]
-    hot = cut(crowded.select(F.explode(F.transform(F.coalesce(*flips), lambda x: F.col("key").bitwiseXOR(x))).alias("key")).distinct())
+    crowded = nodes.select(F.explode(stored).alias("key")).groupBy("key").count().where(F.col("count") > hot_key)
+    balls = [_ball(width, r) for (_, width), r in zip(_segments(len(radii)), radii, strict=True)]
+    flips = F.coalesce(*[F.when(F.shiftright("key", 40) == i, F.array(*map(F.lit, ball))) for i, ball in enumerate(balls)])
+    around = crowded.select("count", F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
+    # a bound of a key's rows: those of crowded keys around it, and of all others in the ball
+    hot = cut(around.groupBy("key").agg((2 * F.sum("count") + hot_key * max(map(len, balls))).alias("weight")))
     any_hot = bool(hot.take(1))
-    cold = seek.join(hot, "key", "left_anti") if any_hot else seek
+    cold = join_hot(seek, hot, ["key"], "weight", "left_anti") if any_hot else seek
 
     near = (F.col("s.key") == F.col("h.key")) & (F.col("s.node") != F.col("h.node")) & (F.bit_count(F.col("s.fp").bitwiseXOR(F.col("h.fp"))) <= distance)
     pairs = cold.alias("s").join(held.alias("h"), near).select(F.col("s.node").alias("a"), F.col("h.node").alias("b"))
@@ -162,7 +193,8 @@ def near_links(nodes: DataFrame, distance: int = 4, segments: int = 3, wide: lis
         pairs = pairs.where(total <= wide_distance).select("a", "b")
     if not any_hot:
         return pairs
-    rows = held.join(hot, "key", "left_semi").withColumn("side", F.lit(0)).union(seek.join(hot, "key", "left_semi").withColumn("side", F.lit(1)))
+    rows = held.withColumn("side", F.lit(0)).union(seek.withColumn("side", F.lit(1)))
+    rows = join_hot(rows, hot, ["key"], "weight", "left_semi")
     if wide:
         rows = rows.join(nodes.select("node", *wide), "node")
     return pairs.union(_hot_links(cut(rows), distance, wide, wide_distance, block))
@@ -170,8 +202,9 @@ def near_links(nodes: DataFrame, distance: int = 4, segments: int = 3, wide: lis
 
 def _hot_links(rows: DataFrame, distance: int, wide: list[str], wide_distance: int, block: int) -> DataFrame:
     """A spanning forest of each pair of blocks of stored (``side`` 0) and searching rows of one key."""
-    parts = rows.groupBy("key").agg(*[F.ceil(F.sum((F.col("side") == s).cast("long")) / block).cast("int").alias(f"n{s}") for s in (0, 1)]).where("n0 > 0 and n1 > 0")
-    dealt = rows.join(parts, "key")
+    counts = [F.ceil(F.sum((F.col("side") == s).cast("long")) / block).cast("int").alias(f"n{s}") for s in (0, 1)]
+    parts = cut(rows.groupBy("key").agg(*counts, F.count("*").alias("weight")).where("n0 > 0 and n1 > 0"))
+    dealt = join_hot(rows, parts, ["key"], "weight")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)
     what = ["key", "node", "fp", *wide, "side"]
@@ -187,9 +220,9 @@ def band_links(nodes: DataFrame, bands: str, wide: list[str], wide_distance: int
     more than ``hot_key`` nodes are searched in blocks, as in ``near_links``; no pair of nodes is skipped.
     """
     keyed = nodes.select(F.explode(bands).alias("key"), "node", *wide)
-    hot = cut(keyed.groupBy("key").count().where(F.col("count") > hot_key).select("key"))
+    hot = cut(keyed.groupBy("key").agg(F.count("*").alias("weight")).where(F.col("weight") > hot_key))
     any_hot = bool(hot.take(1))
-    cold = keyed.join(hot, "key", "left_anti") if any_hot else keyed
+    cold = join_hot(keyed, hot, ["key"], "weight", "left_anti") if any_hot else keyed
     total = F.lit(0)
     for c in wide:
         total = total + F.bit_count(F.col(f"s.{c}").bitwiseXOR(F.col(f"h.{c}")))
@@ -197,28 +230,28 @@ def band_links(nodes: DataFrame, bands: str, wide: list[str], wide_distance: int
     pairs = cold.alias("s").join(cold.alias("h"), near).select(F.col("s.node").alias("a"), F.col("h.node").alias("b"))
     if not any_hot:
         return pairs
-    rows = cut(keyed.join(hot, "key", "left_semi").withColumn("fp", F.lit(0).cast("long")))
+    rows = cut(join_hot(keyed, hot, ["key"], "weight", "left_semi").select("key", "node", *wide, F.lit(0).cast("long").alias("fp")))
     both = rows.withColumn("side", F.lit(0)).union(rows.withColumn("side", F.lit(1)))
     return pairs.union(_hot_links(both, 64, wide, wide_distance, block))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, segments: int | None = None, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
     """``id_col, fp, component_id`` for every row of ``docs``.
 
-    ``component_id`` is the least id that is reachable over links between fingerprints that differ in
-    at most ``distance`` bits; equal fingerprints are linked. Rows with equal fingerprints meet only in
+    ``component_id`` is the least id (of any type with an order) that is reachable over links between fingerprints
+    that differ in at most ``distance`` bits; equal fingerprints are linked. Rows with equal fingerprints meet only in
     an aggregation, so exact copies cost no pairs. Null and empty texts have fingerprint 0. Rows with a
     null id get a null component of their own. Repeated rows are kept. An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, shingle_words))
-    nodes = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")))
+    prints = cut(fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle_words))
+    nodes = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("weight")))
     # fingerprints are signed longs, so they are the nodes themselves; components are renamed afterwards
-    links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), distance, segments)
+    links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), distance, segments, hot_key=hot_key, block=block)
     parts = cut(connected_components(links, "a", "b"))
-    of = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    named = of.groupBy("part").agg(F.min("least").alias("component_id"))
-    members = of.join(named, "part").select("fp", "component_id")
-    out = prints.join(members, "fp", "left")
+    of = cut(nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", "weight", F.coalesce("component", "fp").alias("part")))
+    named = cut(of.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
+    members = cut(join_hot(of, named, ["part"], "size").select("fp", "component_id", "weight"))
+    out = join_hot(prints, members, ["fp"], "weight", "left")
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -257,19 +290,20 @@ def _bands(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, long_word: int = 6) -> DataFrame:
-    """``id_col``, two fingerprints of the text's long words (SEARCH), 256 bits (JUDGE) and MinHash ``bands`` over its word shingles.
+def signatures(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, long_word: int = 6) -> DataFrame:
+    """``docs`` without its text, but with two fingerprints of the text's long words (SEARCH), 256 bits (JUDGE) and MinHash ``bands`` over its word shingles.
 
     One edited word changes as many shingles as they have words, so shingles tell texts apart
     sharply but differ too much between near copies to be searched by; words differ little. A block that
     is added or cut changes words as much as shingles; such copies are found by their bands.
     """
+    rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(6)]
             bands = [np.zeros((0, BANDS), np.uint64)]
-            for lo, hi, raw, offsets in text_chunks(batch.column(1)):
+            for lo, hi, raw, offsets in text_chunks(batch.column(len(rest))):
                 words, n = Words(raw, offsets, fold=True), hi - lo
                 text = words.of_text()
                 long = words.stops - words.starts >= long_word
@@ -281,42 +315,52 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     part.append(_simhash(t, h, n))
                 bands.append(_bands(text[inside], grams[inside], n))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.concatenate(p).view(np.int64)) for p in parts], keys], names=[id_col, *SEARCH, *JUDGE, "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *[pa.array(np.concatenate(p).view(np.int64)) for p in parts], keys], names=[*rest, *SEARCH, *JUDGE, "bands"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in SEARCH + JUDGE) + ", bands array<long>")
+    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in rest) + ", ".join(f"{c} long" for c in SEARCH + JUDGE) + ", bands array<long>"
+    return docs.select(*rest, text_col).mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, distance: int = 7, segments: int = 4, judge_distance: int = 50) -> DataFrame:
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, distance: int, segments: int | None, judge_distance: int) -> tuple[DataFrame, DataFrame]:
+    """``id, th, s0, s1`` of every row with an id, and ``s0, s1, weight, first`` of every signature: the least (id, th) of its group."""
+    prints = signatures(row_keys(docs, id_col, text_col), "text", shingle_words)
+    every = [*SEARCH, *JUDGE, "bands"]
+    prints = cut(prints.select("id", "th", *every, F.xxhash64(*every).alias("s0"), F.xxhash64(F.lit(1), *every).alias("s1")))
+    single = prints.groupBy("s0", "s1").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("weight"), *[F.any_value(c).alias(c) for c in every])
+    single = cut(single.withColumn("node", F.monotonically_increasing_id()))
+    found = [near_links(single.select("node", F.col(k).alias("fp"), *JUDGE), distance, segments, JUDGE, judge_distance) for k in SEARCH]
+    found.append(band_links(single, "bands", JUDGE, judge_distance))
+    parts = cut(connected_components(reduce(DataFrame.union, found), "a", "b"))
+    of = single.select("s0", "s1", "weight", "first", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("node", "component")
+    named = cut(of.groupBy("part").agg(F.min("first").alias("least"), F.count("*").alias("size")))
+    return prints.select("id", "th", "s0", "s1"), cut(join_hot(of, named, ["part"], "size").select("s0", "s1", "weight", F.col("least").alias("first")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, distance: int = 7, segments: int | None = 4, judge_distance: int = 50) -> DataFrame:
     """``id_col, component_id`` for every row of ``docs``: groups of texts whose word shingles resemble each other.
 
     Candidates are within ``distance`` bits in either fingerprint of their long words, or share one of the
     ``bands``; links are those whose 256 bits over shingles differ in at most ``judge_distance``. At a resemblance of 0.8, 39 bits
     differ on average with a standard deviation of 6, at 0.6 it is 59, and unrelated texts differ in 128.
-    Other conventions are those of ``near_duplicates``.
+    ``component_id`` is the least id of the group; ids may be of any type with an order. Texts without any word are copies
+    of one another. Rows with a null id have a null component. An empty table gives no rows.
     """
-    prints = cut(signatures(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, shingle_words))
-    every = [*SEARCH, *JUDGE, "bands"]
-    nodes = cut(prints.where(F.col(id_col).isNotNull()).groupBy(every).agg(F.min(id_col).alias("node")))
-    # an id that repeats with different texts is one node: its rows stay together
-    links = prints.where(F.col(id_col).isNotNull()).join(nodes.withColumnsRenamed({c: f"n_{c}" for c in every}), [F.col(c) == F.col(f"n_{c}") for c in every]).where(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
-    single = nodes.dropDuplicates(["node"])
-    found = [near_links(single.select("node", F.col(k).alias("fp"), *JUDGE), distance, segments, JUDGE, judge_distance) for k in SEARCH]
-    found.append(band_links(single, "bands", JUDGE, judge_distance))
-    parts = connected_components(reduce(DataFrame.union, found, links), "a", "b")
-    out = prints.select(id_col).join(parts, F.col(id_col) == F.col("node"), "left")
-    return out.select(id_col, F.coalesce("component", id_col).alias("component_id"))
+    prints, groups = _similar(docs, id_col, text_col, shingle_words, distance, segments, judge_distance)
+    out = join_hot(prints, groups, ["s0", "s1"], "weight").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
+    none = docs.where(F.col(id_col).isNull()).select(id_col, F.col(id_col).alias("component_id"))
+    return out.union(none)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group of ``similar_groups``; all columns stay.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, distance: int = 7, segments: int | None = 4, judge_distance: int = 50) -> DataFrame:
+    """The first row of each group of ``similar_groups``, by id and then by the hash of its text; all columns stay.
 
-    Texts without any word are copies of one another. Rows with a null id have no group and stay;
-    rows that repeat an id stay once. ``options`` are those of ``similar_groups``.
+    Texts without any word are copies of one another. Rows with a null id have no group and stay; of rows that repeat
+    id and text one stays. Rows that repeat an id with another text are documents of their own.
     """
-    groups = similar_groups(docs, id_col, text_col, **options)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").take(1):
-        kept = kept.dropDuplicates([id_col])
+    _, groups = _similar(docs, id_col, text_col, shingle_words, distance, segments, judge_distance)
+    keep = groups.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(keep, (docs[id_col] == keep["__id"]) & (own == keep["__th"]), "left_semi")
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col, own.alias("__th")).count().where("count > 1").take(1):
+        kept = kept.withColumn("__th", own).dropDuplicates([id_col, "__th"]).drop("__th")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
