@@ -67,18 +67,25 @@ def shingles(text, k=5):
     return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
+def contains(text, need, item):
+    """Of an item's shingles, those in the text: of five words, or of all of a shorter item's."""
+    k = min(5, len(WORD.findall(item)))
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return need & {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
 def test_contained_items_are_those_of_brute_force(spark, docs, rows, empty):
     text = rows[62][1].split()
-    items = [(1, " ".join(text[25:60])), (2, "Not in there at all, of course, is this one"), (3, None), (4, ""), (5, "one"), (6, " ".join(text[22:30]).upper()), (7, " ".join(text[20:45] + ["x"])), (7, rows[0][1])]
+    items = [(1, " ".join(text[25:60])), (2, "Not in there at all, of course, is this one"), (3, None), (4, ""), (5, "one"), (6, " ".join(text[22:30]).upper()), (7, " ".join(text[20:45] + ["x"])), (7, rows[0][1]), (8, " ".join(text[30:33])), (9, text[40].upper()), (10, "not here"), (11, "é É")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect())
     want = Counter()
     for i, t in rows:
         for j, u in items:
             need = shingles(u)
-            if need and len(need & shingles(t)) >= 0.8 * len(need):
+            if need and len(contains(t, need, u)) >= 0.8 * len(need):
                 want[i, j] += 1
-    assert got == want and (62, 1) in got
+    assert got == want and (62, 1) in got and (62, 8) in got and (62, 9) in got
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in rows if not any(k[0] == i for k in want))
@@ -86,9 +93,20 @@ def test_contained_items_are_those_of_brute_force(spark, docs, rows, empty):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_benchmark_ids_may_be_text(spark, docs, rows):
+    text = rows[62][1].split()
+    bench = spark.createDataFrame([("suite/1", " ".join(text[25:60])), ("suite/2", "two words")], "item_id string, text string")
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(named, bench).collect()}
+    assert ("d62", "suite/1") in got and all(i.startswith("d") and j == "suite/1" for i, j in got)
+    assert "d62" not in {r["doc_id"] for r in decontam.decontaminate(named, bench).collect()}
+
+
 def test_benchmark_in_blocks(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame([(i, t) for i, t in rows if i is not None and i < 40], "item_id long, text string")
     whole = sorted(map(tuple, decontam.contaminated(docs.where("doc_id < 100"), bench).collect()))
+    monkeypatch.setattr(decontam, "BYTES_PER_PASS", 9000)
+    assert sorted(map(tuple, decontam.contaminated(docs.where("doc_id < 100"), bench).collect())) == whole
     monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 15)
     assert sorted(map(tuple, decontam.contaminated(docs.where("doc_id < 100"), bench).collect())) == whole
 

@@ -5,23 +5,27 @@ item. Items are partitioned by size (4, 8, 16, ... shingles). For each size clas
 into windows of twice the class's size at steps of its size: a run of shingles as long as an item lies
 whole in some window, whose resemblance to the item then has a lower bound. Windows and items that
 agree in any of ``hashes`` MinHash values are candidates, verified by exact shingle containment in the
-whole document.
+whole document. Items of fewer words than a shingle have one shingle of all their words, and are looked up
+among the documents' shingles of that length: a class for each length, where the hash itself is the MinHash value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_chunks
 from .wordhash import Words, shingle_hashes
 
-#: Items searched in one pass over the documents; their text and MinHash values go to every task.
+#: Items, and bytes of their texts, that are searched in one block; their text and MinHash values go to every task.
 ITEMS_PER_PASS = 20_000
+BYTES_PER_PASS = 16 << 20
 SMALLEST_CLASS = 4
 
 
@@ -37,14 +41,26 @@ def shingles(text: str | None, k: int) -> list[bytes]:
 class Index:
     """MinHash values of a block of items, by size class."""
 
-    def __init__(self, items: list[tuple[int, str | None]], k: int, hashes: int, seed: int = 7):
+    def __init__(self, items: list[tuple[Any, str | None]], k: int, hashes: int, seed: int = 7):
         self.k = k
-        self.ids = [i for i, t in items if shingles(t, k)]
-        self.sets = [shingles(t, k) for _, t in items if shingles(t, k)]
+        full = [(i, x) for i, t in items if (x := shingles(t, k))]
+        self.ids = [i for i, _ in full]
+        self.sets = [x for _, x in full]
+        #: words of each item's shingles: k, or all of a shorter item's
+        self.words = [x[0].count(b" ") + 1 for x in self.sets]
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for size in sorted({w for w in self.words if w < k}):
+            members = [n for n, w in enumerate(self.words) if w == size]
+            lines = [Words(raw := np.frombuffer(self.sets[n][0], np.uint8), np.array([0, len(raw)])) for n in members]
+            h = np.array([w.grams(size)[0][0] for w in lines], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.short.append((size, h[order], np.array(members)[order]))
         draw = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, (2, hashes), dtype=np.uint64)
         self.a, self.b = draw[0] * np.uint64(2) + np.uint64(1), draw[1]
         by_class: dict[int, list[int]] = {}
         for n, s in enumerate(self.sets):
+            if self.words[n] < k:
+                continue
             size = SMALLEST_CLASS
             while size < len(s):
                 size *= 2
@@ -78,7 +94,15 @@ def candidates(index: Index, raw: np.ndarray, offsets: np.ndarray) -> set[tuple[
     """(text, item) pairs of which some window and the item agree in a MinHash value."""
     out: set[tuple[int, int]] = set()
     words = Words(raw, offsets, fold=True)
-    if not len(words) or not index.classes:
+    if not len(words):
+        return out
+    for size, values, items in index.short:
+        grams, inside = words.grams(size)
+        of, seen = words.of_text()[inside], grams[inside]
+        lo, hi = np.searchsorted(values, seen, "left"), np.searchsorted(values, seen, "right")
+        for j in np.flatnonzero(hi > lo):
+            out.update((int(of[j]), int(x)) for x in items[lo[j] : hi[j]])
+    if not index.classes:
         return out
     h, inside = shingle_hashes(words, index.k)
     h = h[inside]
@@ -110,8 +134,7 @@ def verified(index: Index, text: str, items: list[int], threshold: float) -> lis
     """(item, its shingles in the text, its shingles) of the items that the whole text contains."""
     wanted = set().union(*[index.sets[i] for i in items])
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    k = min(index.k, len(words))
-    there = wanted.intersection(b" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+    there = set().union(*[wanted.intersection(b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) for k in {index.words[i] for i in items}])
     out = []
     for i in items:
         shared = sum(s in there for s in index.sets[i])
@@ -134,11 +157,11 @@ def _found(index: Index, column: pa.Array, threshold: float) -> dict[int, list[t
 
 def _passes(bench: DataFrame, item_col: str, text_col: str, k: int, hashes: int):
     """An index for each block of items; blocks are as many as the benchmark needs."""
-    n = bench.count()
-    blocks = -(-n // ITEMS_PER_PASS)
+    n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    blocks = max(-(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
     for b in range(blocks):
-        part = bench.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-        # a block is about ITEMS_PER_PASS items, dealt by text and id
+        part = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+        # a block is about ITEMS_PER_PASS items and BYTES_PER_PASS bytes, dealt by text and id
         rows = part.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect() if blocks > 1 else part.collect()
         yield bench.sparkSession.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in rows], k, hashes))
 
@@ -148,11 +171,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, threshold: float
 
     An item is contained if at least ``threshold`` of its distinct shingles of ``k`` words (A-Z
     lower-cased) are anywhere in the document. Null and empty texts and items contain nothing and are in
-    nothing; a text of fewer than ``k`` words is one shingle. Rows that repeat give repeated results. The
-    benchmark is searched in blocks of about ``ITEMS_PER_PASS`` items, each a pass over the documents
+    nothing; an item of fewer than ``k`` words is one shingle of all its words. Ids may be of any type. Rows that
+    repeat give repeated results. The benchmark is searched in blocks of about ``ITEMS_PER_PASS`` items and
+    ``BYTES_PER_PASS`` bytes, each a pass over the documents
     without a shuffle; an empty table gives no rows. Other columns aren't read.
     """
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id long, n_shared long, n_item long, containment double"
+    item_type = bench.schema[item_col].dataType
+    arrow_item = to_arrow_type(item_type)
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {item_type.simpleString()}, n_shared long, n_item long, containment double"
     rows = docs.select(id_col, text_col)
     out = docs.sparkSession.createDataFrame([], schema)
     for handle in _passes(bench, item_col, item_text_col, k, hashes):
@@ -164,7 +190,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, threshold: float
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                        pa.array([index.ids[h[1]] for h in hits], pa.int64()),
+                        pa.array([index.ids[h[1]] for h in hits], arrow_item),
                         pa.array([h[2] for h in hits], pa.int64()),
                         pa.array([h[3] for h in hits], pa.int64()),
                         pa.array([h[2] / h[3] for h in hits], pa.float64()),

@@ -107,11 +107,11 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
-ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[j : j + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j) WHERE len(w) > 0),
-x AS (SELECT DISTINCT item_id, array_to_string(w[j : j + 4], ' ') AS s FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j) WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[j : j + least(5, len(w)) - 1], ' ') AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j) WHERE len(w) > 0),
+ds AS (SELECT DISTINCT r, doc_id, k, array_to_string(w[j : j + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM x), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS j)),
 n AS (SELECT item_id, count(*) AS n_item FROM x GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, CAST(count(*) AS DOUBLE) / n_item AS containment
-FROM ds JOIN x USING (s) JOIN n USING (item_id) GROUP BY r, doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+FROM ds JOIN x USING (k, s) JOIN n USING (item_id) GROUP BY r, doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """,
     "op6_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
