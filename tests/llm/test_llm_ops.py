@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, htmltext, lines, packing, quality, rules, secrets, simhash, substr, urls
 from tidemark.llm.components import connected_components
-from tidemark.llm.fmindex import FMIndex, matching_intervals
+from tidemark.llm.fmindex import FMIndex, WaveletTree, bounded_suffix_array, matching_statistics
 from tidemark.llm.wordhash import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -331,20 +331,25 @@ def test_expectation_maximisation_finds_the_accuracies():
 
 
 def plain_repeats(rows, length=20):
-    first = {}
+    """A row is told apart by id and text; of rows with one id neither is earlier."""
+    least, first = {}, {}
+    key = lambda i: -1 if i is None else i
     for i, t in rows:
         w = WORD.findall(t or "")
         for p in range(len(w) - length + 1):
             k = tuple(w[p : p + length])
-            at = (-1 if i is None else i, p)
-            first[k] = min(at, first.get(k, at))
-    gone = defaultdict(set)
+            least[k] = min(key(i), least.get(k, key(i)))
+            first[k, i, t] = min(p, first.get((k, i, t), p))
+    out = []
     for i, t in rows:
         w = WORD.findall(t or "")
+        gone = set()
         for p in range(len(w) - length + 1):
-            if first[tuple(w[p : p + length])] < (-1 if i is None else i, p):
-                gone[i] |= set(range(p, p + length))
-    return [(i, len(w), len([p for p in gone[i] if p < len(w)]), " ".join(x for p, x in enumerate(w) if p not in gone[i])) for i, t in rows for w in [WORD.findall(t or "")]]
+            k = tuple(w[p : p + length])
+            if least[k] < key(i) or first[k, i, t] < p:
+                gone |= set(range(p, p + length))
+        out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return out
 
 
 def test_repeats_go_as_in_brute_force(docs, rows, empty):
@@ -355,15 +360,64 @@ def test_repeats_go_as_in_brute_force(docs, rows, empty):
     assert substr.remove_repeats(empty).collect() == []
 
 
+def test_repeats_with_ids_that_repeat_or_are_text(spark, rows):
+    r = random.Random(21)
+    own = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
+    shared = own(30)
+    extra = [(5, own(30)), (5, own(10) + " " + shared), (5, shared + " " + own(40)), (2000, shared + " " + shared), (5, own(30))]
+    table = [*rows, *extra, extra[1]]
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substr.remove_repeats(frame(spark, table).repartition(5)).collect())
+    assert got == Counter(plain_repeats(table)) and (5, 30, 0, extra[0][1]) in got
+    named = [(None if i is None else f"{i:05d}/x", t) for i, t in table]
+    docs = spark.createDataFrame(named, "doc_id string, text string").repartition(3)
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substr.remove_repeats(docs).collect())
+    assert got == Counter((None if i is None else f"{i:05d}/x", *rest) for i, *rest in plain_repeats(table))
+
+
+def test_windows_of_hot_minimizers_meet_too(spark, monkeypatch):
+    r = random.Random(22)
+    words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    common = " ".join(words[:5])
+    rows = [(i, " ".join(" ".join(r.choice(words) for _ in range(r.randint(6, 18))) + " " + common for _ in range(12))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][40:]) for i in range(20)]
+    for name, value in (("SAMPLE", 1), ("HOT_SEGMENTS", 8)):
+        monkeypatch.setattr(substr, name, value)
+    docs = frame(spark, rows).repartition(3)
+    assert len(substr.hot_minimizers(docs, 20))
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substr.remove_repeats(docs).collect())
+    assert got == Counter(plain_repeats(rows))
+
+
 def test_index_counts_patterns():
     r = random.Random(2)
     text = np.array([r.randint(1, 4) for _ in range(500)] + [0], np.int32)
     index = FMIndex(text, 5, 6)
-    starts = np.arange(0, 494)
-    lo, hi = matching_intervals(index, text, starts, 6)
-    windows = Counter(tuple(text[i : i + 6]) for i in starts)
-    assert all(hi[i] - lo[i] == windows[tuple(text[i : i + 6])] for i in starts)
-    assert all(tuple(text[p : p + 6]) == tuple(text[i : i + 6]) for i in (0, 77, 400) for p in index.places[lo[i] : hi[i]])
+    ends = np.arange(5, 500)
+    for often in (1, 2, 3):
+        sizes, los = matching_statistics(index, text, ends, 6, np.full(len(ends), often), block=64)
+        count = Counter(tuple(text[i : i + n]) for n in range(1, 7) for i in range(501 - n))
+        for e, n in zip(ends, sizes, strict=True):
+            assert n == max((k for k in range(1, 7) if count[tuple(text[e - k + 1 : e + 1])] >= often), default=0)
+    name = {}
+    for e, n, lo in zip(ends, sizes, los, strict=True):
+        if n == 6:
+            assert name.setdefault(lo, tuple(text[e - 5 : e + 1])) == tuple(text[e - 5 : e + 1])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tree_ranks_and_suffixes(seed):
+    r = np.random.default_rng(seed)
+    sigma, n = int(r.integers(2, 400)), int(r.integers(1, 3000))
+    text = r.choice(sigma, n, p=r.dirichlet(np.ones(sigma) * 0.1)).astype(np.int32)
+    tree = WaveletTree(text, sigma)
+    c = r.choice(text, 300)
+    lo = r.integers(0, n + 1, 300)
+    hi = np.maximum(lo, r.integers(0, n + 1, 300))
+    a, b = tree.ranks(c, lo, hi)
+    assert all(a[i] == (text[: lo[i]] == c[i]).sum() and b[i] == (text[: hi[i]] == c[i]).sum() for i in range(300))
+    for depth in (1, 3, 20):
+        suffixes = [tuple(text[i : i + depth]) for i in bounded_suffix_array(text, depth)]
+        assert suffixes == sorted(suffixes) and len(suffixes) == n
 
 
 def test_segments_hold_every_window_once():

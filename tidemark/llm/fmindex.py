@@ -1,4 +1,4 @@
-"""A compressed full-text index over integer sequences: Burrows-Wheeler transform, wavelet matrix, backward search."""
+"""A compressed full-text index over integer sequences: Burrows-Wheeler transform, entropy-shaped wavelet tree, backward search."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ class Bits:
         self.words = padded.view(np.uint64)
         self.before = np.zeros(len(self.words), np.int32)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
-        self.zeros = len(bits) - int(bits.sum())
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         word = i >> 6
@@ -25,81 +24,154 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
-class WaveletMatrix:
-    """``rank(c, i)``: how often symbol c stands before place i, for arrays of c and i."""
+class WaveletTree:
+    """How often symbol c stands before place i, for arrays of c and i.
+
+    The tree is compressed to about the entropy of the symbols: one that makes up 2**-b of all has a code of b bits,
+    rounded up (Shannon), so frequent symbols are short to store and to look up. A level holds the next code bit of
+    all symbols with a code that long, in the order of the bits before; a symbol's place in it is known beforehand.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int):
-        self.levels: list[Bits] = []
-        self.depth = max(1, int(sigma - 1).bit_length())
-        for level in reversed(range(self.depth)):
-            bit = (symbols >> level) & 1
-            self.levels.append(Bits(bit.astype(bool)))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+        count = np.bincount(symbols, minlength=sigma).astype(np.int64)
+        there = np.flatnonzero(count)
+        size = np.ones(sigma, np.int64)
+        if len(there):
+            size[there] = np.maximum(1, np.ceil(np.log2(len(symbols) / count[there]) - 1e-9).astype(np.int64))
+        # canonical codes: shorter ones first, each left-aligned in `top` bits
+        order = there[np.argsort(size[there], kind="stable")]
+        top = int(size[order].max()) if len(order) else 1
+        weight = np.int64(1) << (top - size[order])
+        aligned = np.zeros(sigma, np.int64)
+        aligned[order] = np.cumsum(weight) - weight
+        self.size = size
+        self.levels: list[tuple[Bits, np.ndarray, np.ndarray]] = []
+        self.bit: list[np.ndarray] = []
+        for level in range(top):
+            longer = size[order] > level
+            prefix = aligned[order] >> (top - level)
+            held = np.where(longer, count[order], 0)
+            ends = np.cumsum(held)
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = prefix[1:] != prefix[:-1]
+            first = (ends - held)[np.flatnonzero(fresh)]
+            start = np.zeros(sigma, np.int32)
+            start[order] = np.repeat(first, np.diff(np.append(np.flatnonzero(fresh), len(order))))
+            bit = ((aligned >> (top - 1 - level)) & 1).astype(bool)
+            bits = bit[symbols]
+            vector = Bits(bits)
+            self.levels.append((vector, start, vector.ones(start.astype(np.int64)).astype(np.int32)))
+            self.bit.append(bit)
+            if level + 1 < top:
+                # the next level has the same symbols but those that end here, each node's zeros before its ones
+                stay = size[symbols] > level + 1
+                symbols, bits = symbols[stay], bits[stay]
+                nodes = (aligned >> (top - level - 1))[symbols]
+                symbols = symbols[_by_node(nodes)]
 
     def ranks(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.zeros_like(lo)
-        for k, bits in enumerate(self.levels):
-            one = ((c >> (self.depth - 1 - k)) & 1).astype(bool)
-            a, b, z = bits.ones(begin), bits.ones(lo), bits.ones(hi)
-            begin = np.where(one, bits.zeros + a, begin - a)
-            lo = np.where(one, bits.zeros + b, lo - b)
-            hi = np.where(one, bits.zeros + z, hi - z)
-        return lo - begin, hi - begin
+        lo, hi = lo.copy(), hi.copy()
+        at = np.arange(len(c))
+        for level, ((bits, start, ones), bit) in enumerate(zip(self.levels, self.bit, strict=True)):
+            if level:
+                at = at[self.size[c[at]] > level]
+                if not len(at):
+                    break
+            s = c[at]
+            begin, before = start[s], ones[s]
+            a, b = bits.ones(begin + lo[at]) - before, bits.ones(begin + hi[at]) - before
+            one = bit[s]
+            lo[at] = np.where(one, a, lo[at] - a)
+            hi[at] = np.where(one, b, hi[at] - b)
+        return lo, hi
+
+
+def _by_node(nodes: np.ndarray) -> np.ndarray:
+    """A stable order by node; nodes come in runs already, so a level only parts its runs."""
+    if len(nodes) and int(nodes.max()) < 1 << 16:
+        return np.argsort(nodes.astype(np.uint16), kind="stable")
+    return np.argsort(nodes, kind="stable")
 
 
 def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` sorted by their first ``depth`` symbols or more, by doubling."""
-    rank = text.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    length = 1
+    """Places of ``text`` sorted by their first ``depth`` symbols or more.
+
+    The first sort takes as many symbols as fit in 63 bits; after that only places that are still equal to another are
+    sorted again, by the ranks of what follows, so each round doubles what is compared.
+    """
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    width = max(1, int(text.max()).bit_length() + 1)
+    length = min(depth, max(1, 63 // width))
+    key = np.zeros(n, np.int64)
+    for j in range(length):
+        key <<= width
+        key[: n - j] += text[j:].astype(np.int64) + 1
+    order = np.argsort(key, kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)
     while True:
-        s = rank[order]
-        new = np.zeros(len(text), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if len(text) else s
-        rank = new
-        if length >= depth or not len(text) or rank.max() == len(text) - 1:
+        # a place's rank is that of the first of its equals
+        first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        rank[order] = first + 1
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        if length >= depth or not tied.any():
             return order
-        key = rank * (len(text) + 1)
-        key[:-length] += rank[length:] + 1
-        rank = key
-        order = np.argsort(rank, kind="stable")
+        at = np.flatnonzero(tied)
+        places = order[at]
+        after = np.where(places + length < n, rank[np.minimum(places + length, n - 1)], 0)
+        again = np.lexsort((after, first[at]))
+        order[at] = places[again]
+        a, g = after[again], first[at][again]
+        new = np.ones(len(at), bool)
+        new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
+        fresh[at] = new
         length *= 2
 
 
 class FMIndex:
-    """Counts and locates patterns of up to ``depth`` symbols in ``text`` (symbols from 0 to sigma - 1).
+    """Finds patterns of up to ``depth`` symbols in ``text`` (symbols from 0 to sigma - 1).
 
     Suffixes are sorted by their first ``depth`` symbols only. The interval of a pattern P is extended
     to cP by counting c before its ends in the transform; that count needs the order of suffixes by
-    their first |P| symbols and no more, so the intervals of such patterns are exact.
+    their first |P| symbols and no more, so the intervals of such patterns are exact. The suffix array is dropped when
+    the transform is made: an interval's size says how often a pattern occurs, and its start names the pattern.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.places = bounded_suffix_array(text, depth)
+        places = bounded_suffix_array(text, depth)
         self.before = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.before[1:])
         # the transform takes the text as a ring; patterns never hold the separator at the seam
-        self.matrix = WaveletMatrix(text[self.places - 1], sigma)
+        self.tree = WaveletTree(text[places - 1], sigma)
         self.size = len(text)
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of cP from those of P."""
-        a, b = self.matrix.ranks(c, lo, hi)
+        a, b = self.tree.ranks(c, lo, hi)
         return self.before[c] + a, self.before[c] + b
 
 
-def matching_intervals(index: FMIndex, stream: np.ndarray, starts: np.ndarray, length: int, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix intervals of the ``length`` symbols of ``stream`` from each of ``starts``, by backward search.
+def matching_statistics(index: FMIndex, stream: np.ndarray, ends: np.ndarray, most: int, often: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``ends``: the length of the longest run of symbols of ``stream`` that ends there (inclusive) and occurs
+    ``often`` times or more in the index, up to ``most``; and the start of the interval of those that reach ``most``.
 
-    Intervals that become empty stay empty: there the longest match is below the threshold.
+    A run is extended to the left by backward search as long as its interval is large enough.
     """
-    los, his = [], []
-    for first in range(0, len(starts), block):
-        at = starts[first : first + block]
+    sizes, los = np.zeros(len(ends), np.int32), np.zeros(len(ends), np.int64)
+    for first in range(0, len(ends), block):
+        at = np.arange(first, min(first + block, len(ends)))
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
-        for j in reversed(range(length)):
-            lo, hi = index.extend(stream[at + j], lo, hi)
-        los.append(lo)
-        his.append(hi)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *los]), np.concatenate([none, *his])
+        for j in range(most):
+            lo, hi = index.extend(stream[ends[at] - j], lo, hi)
+            on = hi - lo >= often[at]
+            if not on.all():
+                at, lo, hi = at[on], lo[on], hi[on]
+            if not len(at):
+                break
+            sizes[at] = j + 1
+        los[at] = lo
+    return sizes, los

@@ -2,23 +2,26 @@
 
 Every window of ``length`` words has a minimizer, the least hash of its word 4-grams. Runs of windows
 with one minimizer form a segment, and a segment goes to the shard of its minimizer: equal windows
-meet in one shard, and each window is in one shard only. A shard indexes its segments and streams
-them through backward search.
+meet in one shard, and each window is in one shard only. Windows with a minimizer that very many segments have are
+segments of their own and are dealt by the hash of the whole window. A shard indexes its distinct segments and streams
+them through backward search; its matching statistics alone say which windows occur elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+import pickle
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, text_chunks
-from .fmindex import FMIndex, matching_intervals
+from .fmindex import FMIndex, matching_statistics
 from .wordhash import Words
 
 GRAM = 4
@@ -26,10 +29,13 @@ GRAM = 4
 FLUSH_BYTES = 24 << 20
 #: Shards for each shuffle partition, so that chance puts near equal loads together.
 SHARDS_PER_PARTITION = 4
+#: One row in so many is looked at for minimizers of very many segments, and those with more than one segment in HOT_SHARE
+#: are such: HOT_SHARE at most. That says where windows meet, not which are removed.
+SAMPLE, HOT_SHARE, HOT_SEGMENTS = 64, 2000, 256
 _NULL_ID = -(1 << 63)
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 _PARCELS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+_NO_MINIMIZERS = np.zeros(0, np.uint64)
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -42,14 +48,22 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def segments(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, minimizer) of each run of windows with one minimizer in one text."""
+def segments(words: Words, length: int, hot: np.ndarray = _NO_MINIMIZERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, minimizer) of each run of windows with one minimizer in one text.
+
+    Windows with one of the ``hot`` minimizers (sorted) have the hash of the whole window in its place.
+    """
     n = len(words)
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
     gram = min(GRAM, length)
     least = _sliding_min(words.grams(gram)[0][: n - gram + 1], length - gram + 1)
+    if len(hot):
+        near = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
+        which = np.flatnonzero(hot[near] == least)
+        if len(which):
+            least[which] = words.grams(length)[0][which]
     text = words.of_text()
     inside = text[: n - length + 1] == text[length - 1 :]
     fresh = inside.copy()
@@ -61,82 +75,94 @@ def segments(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Gathered:
-    """Distinct segments with their earliest place; later copies become spans at once."""
+    """Distinct segments of a task with their earliest place (id, hash of text, first word).
+
+    Before anything is shuffled, a later copy of a whole segment becomes a span. Of rows that have an id in common
+    neither is earlier, so the shard gets the places of both.
+    """
 
     def __init__(self) -> None:
-        self.seen: dict[bytes, tuple[int, int, int]] = {}
+        self.seen: dict[bytes, tuple[Any, int, int, int]] = {}
+        self.more: list[tuple[bytes, tuple[Any, int, int, int]]] = []
         self.bytes = 0
-        self.spans: list[tuple[int, int, int]] = []
+        self.spans: list[tuple[Any, int, int, int]] = []
 
-    def add(self, segment: bytes, minimizer: int, doc: int, start: int) -> None:
+    def add(self, segment: bytes, minimizer: int, doc: Any, th: int, start: int) -> None:
+        here = (doc, th, start, minimizer)
         old = self.seen.get(segment)
         if old is None:
-            self.seen[segment] = (doc, start, minimizer)
+            self.seen[segment] = here
             self.bytes += len(segment)
             return
-        here, there = (doc, start), old[:2]
-        if here == there:
+        if here == old:
+            return
+        if doc == old[0] and th != old[1]:
+            self.more.append((segment, here))
+            self.bytes += len(segment)
             return
-        if here < there:
-            self.seen[segment] = (doc, start, minimizer)
-            here = there
-        stop = here[1] + segment.count(b" ") + 1
-        if self.spans and self.spans[-1][0] == here[0] and self.spans[-1][1] <= here[1] <= self.spans[-1][2]:
-            self.spans[-1] = (here[0], self.spans[-1][1], max(self.spans[-1][2], stop))
+        if here[:3] < old[:3]:
+            self.seen[segment], here = here, old
+        stop = here[2] + segment.count(b" ") + 1
+        last = self.spans[-1] if self.spans else None
+        if last and last[:2] == here[:2] and last[2] <= here[2] <= last[3]:
+            self.spans[-1] = (*last[:3], max(last[3], stop))
         else:
-            self.spans.append((*here, stop))
+            self.spans.append((*here[:3], stop))
 
+    def items(self) -> Iterator[tuple[bytes, tuple[Any, int, int, int]]]:
+        yield from self.seen.items()
+        yield from self.more
 
-def _pack(items: list[tuple[bytes, tuple[int, int, int]]]) -> bytes:
+
+def _ids(values: list) -> Any:
+    return np.array(values, np.int64) if values and isinstance(values[0], int) else values
+
+
+def _pack(items: list[tuple[bytes, tuple[Any, int, int, int]]]) -> bytes:
     import zstandard
 
-    docs = np.array([d for _, (d, _, _) in items], np.int64)
-    starts = np.array([s for _, (_, s, _) in items], np.int32)
-    # half of a minimizer tells partners apart well enough: a chance partner is searched in vain
-    halves = np.array([m & 0xFFFFFFFF for _, (_, _, m) in items], np.uint32)
-    text = b"\n".join(k for k, _ in items)
-    return zstandard.compress(struct.pack("<q", len(items)) + docs.tobytes() + starts.tobytes() + halves.tobytes() + text, 6)
+    docs, th, starts = _ids([p[0] for _, p in items]), np.array([p[1] for _, p in items], np.int64), np.array([p[2] for _, p in items], np.int32)
+    return zstandard.compress(pickle.dumps((docs, th, starts, b"\n".join(k for k, _ in items)), 5), 6)
 
 
-def _unpack(payload: bytes) -> Iterable[tuple[bytes, int, int, int]]:
+def _unpack(payload: bytes) -> Iterable[tuple[bytes, Any, int, int]]:
     import zstandard
 
-    raw = zstandard.decompress(payload)
-    (n,) = struct.unpack_from("<q", raw)
-    docs = np.frombuffer(raw, np.int64, n, 8)
-    starts, halves = np.frombuffer(raw, np.int32, n, 8 + 8 * n), np.frombuffer(raw, np.uint32, n, 8 + 12 * n)
-    return zip(raw[8 + 16 * n :].split(b"\n"), halves.tolist(), docs.tolist(), starts.tolist(), strict=True)
+    docs, th, starts, text = pickle.loads(zstandard.decompress(payload))
+    return zip(text.split(b"\n"), docs if isinstance(docs, list) else docs.tolist(), th.tolist(), starts.tolist(), strict=True)
 
 
-def _cut(length: int, shards: int):
+def _cut(length: int, shards: int, hot: np.ndarray, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Gathered()
         turn = 0
 
         def parcels() -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
-            for item in gathered.seen.items():
-                by.setdefault(item[1][2] % shards, []).append(item)
+            for item in gathered.items():
+                by.setdefault(item[1][3] % shards, []).append(item)
             for shard, items in by.items():
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([1], pa.int32()), pa.array([_pack(items)], pa.binary())], schema=_PARCELS)
             if gathered.spans:
-                spans = np.array(gathered.spans, np.int64).tobytes()
+                doc, th, start, stop = zip(*gathered.spans, strict=True)
+                spans = pickle.dumps((_ids(list(doc)), np.array(th, np.int64), np.array(start, np.int64), np.array(stop, np.int64)), 5)
                 # spans need no shard; they travel along
                 yield pa.RecordBatch.from_arrays([pa.array([(turn * 7919 + len(spans)) % shards], pa.int32()), pa.array([0], pa.int32()), pa.array([spans], pa.binary())], schema=_PARCELS)
 
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            for lo, _, raw, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
+            ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False) if whole else np.array([_text_id(x) for x in batch.column(0).to_pylist()], object)
+            hashes = batch.column(1).to_numpy()
+            for lo, _, raw, offsets in text_chunks(batch.column(2), CHUNK_BYTES):
                 words = Words(raw, offsets)
-                first, stop, least = segments(words, length)
+                first, stop, least = segments(words, length, hot)
                 text = np.searchsorted(words.bounds, first, "right") - 1
                 line = raw.tobytes().translate(_TO_SPACE)
-                docs, starts = ids[lo + text].tolist(), (first - words.bounds[text]).tolist()
-                for a, b, m, d, s in zip(words.starts[first].tolist(), words.stops[stop - 1].tolist(), least.tolist(), docs, starts, strict=True):
+                docs, ths, starts = ids[lo + text].tolist(), hashes[lo + text].tolist(), (first - words.bounds[text]).tolist()
+                for a, b, m, d, h, s in zip(words.starts[first].tolist(), words.stops[stop - 1].tolist(), least.tolist(), docs, ths, starts, strict=True):
                     part = line[a:b]
                     if b"  " in part:
                         part = b" ".join(part.split())
-                    gathered.add(part, m, d, s)
+                    gathered.add(part, m, d, h, s)
                 if gathered.bytes >= FLUSH_BYTES:
                     yield from parcels()
                     gathered, turn = Gathered(), turn + 1
@@ -145,94 +171,136 @@ def _cut(length: int, shards: int):
     return run
 
 
-def _spans_of_shard(gathered: Gathered, length: int) -> np.ndarray:
-    """Spans (doc, start, stop) of the earliest copies whose windows stand earlier in other segments."""
-    partners: dict[int, int] = {}
-    for _, _, m in gathered.seen.values():
-        partners[m] = partners.get(m, 0) + 1
-    symbols: dict[bytes, int] = {}
-    texts, docs, starts = [], [], []
-    for segment, (doc, start, m) in gathered.seen.items():
-        words = segment.split(b" ")
-        # without a partner, only a segment that holds a window twice matters: that repeats `length` words
-        if partners[m] > 1 or len(words) - len(set(words)) >= length:
-            texts.append([symbols.setdefault(w, len(symbols) + 1) for w in words])
-            docs.append(doc)
-            starts.append(start)
-    if not texts:
-        return np.zeros((0, 3), np.int64)
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int(sizes.sum()) + len(texts), np.int32)
-    for at, t in zip(begins.tolist(), texts, strict=True):
-        text[at : at + len(t)] = t
-    del texts
-    counts = sizes - length + 1
-    which = np.repeat(np.arange(len(sizes)), counts)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    places = begins[which] + offset
-    doc, pos = np.array(docs, np.int64)[which], np.array(starts, np.int64)[which] + offset
-    order = np.lexsort((pos, doc))
-    step = np.ones(len(order), np.int64)
-    step[1:] = (doc[order[1:]] != doc[order[:-1]]) | (pos[order[1:]] != pos[order[:-1]])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(step)
-
-    index = FMIndex(text, len(symbols) + 1, length)
-    lo, hi = matching_intervals(index, text, places, length)
-    at_place = np.full(len(text) + 1, 1 << 62, np.int64)
-    at_place[places] = rank
-    by_suffix = np.append(at_place[index.places], 1 << 62)
-    los, where = np.unique(lo, return_index=True)
-    ends = hi[where]
-    least = np.minimum.reduceat(by_suffix, np.stack([los, ends], 1).ravel())[::2]
-    gone = least[np.searchsorted(los, lo)] < rank
-
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1] | (which[1:] != which[:-1])
-    closes = gone.copy()
-    closes[:-1] &= ~gone[1:] | (which[1:] != which[:-1])
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    return np.stack([doc[a], pos[a], pos[b] + length], 1)
-
-
-def _search(length: int):
+def _text_id(value: str | None) -> str:
+    """Ids that aren't whole numbers are ordered as text, after a null id."""
+    return "" if value is None else f"={value}"
+
+
+class Shard:
+    """The distinct segments of a shard, and the places (segment, id, hash of text, first word) where they stand."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.places: list[tuple[int, Any, int, int]] = []
+
+    def add(self, segment: bytes, doc: Any, th: int, start: int) -> None:
+        self.places.append((self.number.setdefault(segment, len(self.number)), doc, th, start))
+
+    def spans(self, length: int) -> tuple[Any, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, hashes of texts, starts, stops) of runs of windows that stand earlier too, as the index says."""
+        none = np.zeros(0, np.int64)
+        if not self.places:
+            return none, none, none, none
+        raw = np.frombuffer(b"\n".join(self.number), np.uint8)
+        words = Words(raw, np.array([0, len(raw)]))
+        ends = np.append(np.flatnonzero(raw == 10), len(raw))
+        sizes = np.diff(np.searchsorted(words.starts, ends), prepend=0)
+        # words are told apart by their 64-bit hashes
+        names, symbol = np.unique(words.hash, return_inverse=True)
+        del words
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
+        text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
+
+        docs = [p[1] for p in self.places]
+        seg, th, start = (np.array([p[i] for p in self.places], np.int64) for i in (0, 2, 3))
+        known, doc = np.unique(np.array(docs, np.int64 if isinstance(docs[0], int) else object), return_inverse=True)
+        order = np.lexsort((start, th, doc, seg))
+        seg, doc, th, start = seg[order], doc[order], th[order], start[order]
+        # rows that repeat id and text are one document
+        new = np.ones(len(seg), bool)
+        new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])
+        seg, doc, th, start = seg[new], doc[new], th[new], start[new]
+        copies = np.bincount(seg, minlength=len(sizes))
+
+        counts = sizes - length + 1
+        which = np.repeat(np.arange(len(sizes)), counts)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        index = FMIndex(text, len(names) + 1, length)
+        found, lo = matching_statistics(index, text, begins[which] + offset + length - 1, length, np.where(copies[which] > 1, 1, 2))
+        del index, text
+        hit = np.flatnonzero(found >= length)
+        # a window's occurrences all have its interval, whose start is its name: each is judged against the earliest
+        each = copies[which[hit]]
+        window = np.repeat(hit, each)
+        place = np.repeat((np.cumsum(copies) - copies)[which[hit]], each) + np.arange(len(window)) - np.repeat(np.cumsum(each) - each, each)
+        name, d, t, at = lo[window], doc[place], th[place], start[place] + offset[window]
+        order = np.lexsort((at, t, d, name))
+        name, d, t, at = name[order], d[order], t[order], at[order]
+        first = np.ones(len(name), bool)
+        first[1:] = name[1:] != name[:-1]
+        least = d[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))] if len(name) else d
+        again = np.zeros(len(name), bool)
+        again[1:] = (name[1:] == name[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1])
+        gone = again | (d > least)
+        d, t, at = d[gone], t[gone], at[gone]
+        order = np.lexsort((at, t, d))
+        d, t, at = d[order], t[order], at[order]
+        opens = np.ones(len(d), bool)
+        opens[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (at[1:] > at[:-1] + length)
+        closes = np.append(opens[1:], True)[: len(d)]
+        return known[d[opens]], t[opens], at[opens], at[closes] + length
+
+
+def _search(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(spans: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[:, i])) for i in range(3)], schema=_SPANS)
+        def out(ids: Any, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            ids = np.asarray(ids)
+            keys = pa.array(ids, pa.int64(), mask=ids == _NULL_ID) if whole else pa.array([x[1:] if x else None for x in ids.tolist()], pa.string())
+            return pa.RecordBatch.from_arrays([keys, pa.array(th, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "th", "start", "stop"])
 
-        shard, gathered = None, Gathered()
+        number, shard = None, Shard()
         for batch in batches:
             for s, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind == 0:
-                    yield out(np.frombuffer(payload.as_py(), np.int64).reshape(-1, 3))
+                    yield out(*pickle.loads(payload.as_py()))
                     continue
-                if s != shard:
-                    yield out(_spans_of_shard(gathered, length))
-                    shard, gathered = s, Gathered()
+                if s != number:
+                    yield out(*shard.spans(length))
+                    number, shard = s, Shard()
                 for item in _unpack(payload.as_py()):
-                    gathered.add(*item)
-                if gathered.spans:
-                    yield out(np.array(gathered.spans, np.int64))
-                    gathered.spans = []
-        yield out(_spans_of_shard(gathered, length))
+                    shard.add(*item)
+        yield out(*shard.spans(length))
 
     return run
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``doc_id, th, text``, and whether ids are whole numbers."""
+    whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    return docs.select(F.col(id_col).cast("long" if whole else "string").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text")), whole
+
+
+def hot_minimizers(rows: DataFrame, length: int) -> np.ndarray:
+    """Minimizers, sorted, of more than one segment in HOT_SHARE among one row in SAMPLE; HOT_SHARE numbers at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, offsets in text_chunks(batch.column(0), CHUNK_BYTES):
+                least, n = np.unique(segments(Words(raw, offsets), length)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], names=["m", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "m long, n long")
+    counts = sample.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_SEGMENTS // 8)
+    found = counts.orderBy(F.desc("n")).limit(HOT_SHARE).collect()
+    total = sum(r["n"] for r in found)
+    return np.sort(np.array([r["m"] for r in found if r["n"] > max(HOT_SEGMENTS, total // HOT_SHARE)], np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, stop`` (words, stop exclusive): spans of windows of ``length`` words that also start earlier.
+    """``doc_id, th, start, stop`` (words, stop exclusive): spans of windows of ``length`` words that also start earlier.
 
-    Earlier means in a document with a smaller id, or earlier in the same document. Spans of a document
-    may touch or overlap; every window in a span's union of windows qualifies. A null id counts as the
-    smallest and is -2**63 here.
+    Earlier means in a document with a smaller id, or earlier in the same document; ``th`` is the hash of the text.
+    Spans of a document may touch or overlap; every window in a span's union of windows qualifies. A null id counts as
+    the smallest. Ids that aren't whole numbers are given and ordered as text.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parcels = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(length, partitions * SHARDS_PER_PARTITION), "shard int, kind int, payload binary")
+    rows, whole = _rows(docs, id_col, text_col)
+    parcels = rows.mapInArrow(_cut(length, partitions * SHARDS_PER_PARTITION, hot_minimizers(rows, length), whole), "shard int, kind int, payload binary")
     # of one mind about memory: a worker takes few parcels at a time
     dealt = parcels.repartition(partitions, "shard").sortWithinPartitions("kind", "shard")
-    return dealt.mapInArrow(_search(length), "doc_id long, start long, stop long")
+    return dealt.mapInArrow(_search(length, whole), f"doc_id {'long' if whole else 'string'}, th long, start long, stop long")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +324,14 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
 
     Words are runs of characters other than space and 0x09-0x0D. A word goes if a window of ``length``
     words covers it whose word sequence also starts earlier in ``docs`` as it came; ``kept`` is what
-    stays, joined by one space. Null text has no words. A null id counts as the smallest. Rows that
-    repeat an id are one document: equal rows aren't earlier than one another, and what goes from one goes
-    from the others at the same places. An empty table gives no rows; other columns aren't read.
+    stays, joined by one space. Null text has no words. A null id counts as the smallest; ids that aren't whole
+    numbers are ordered as text. Rows that repeat an id with another text are documents of their own of which neither
+    is earlier; rows that repeat both are one document, and what goes from one goes from the others. An
+    empty table gives no rows; other columns aren't read.
     """
-    spans = repeated_spans(docs, length, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"))
-    joined = rows.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    spans = repeated_spans(docs, length, id_col, text_col).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans.withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
+    rows, _ = _rows(docs, id_col, text_col)
+    rows = rows.withColumnRenamed("doc_id", "key").withColumn("doc_id", F.col("key") if rows.schema["doc_id"].dataType == docs.schema[id_col].dataType else F.col("key").cast(docs.schema[id_col].dataType))
+    joined = rows.join(spans, F.col("key").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_apply, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string")
