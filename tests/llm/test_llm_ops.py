@@ -398,6 +398,10 @@ def test_index_counts_patterns():
         count = Counter(tuple(text[i : i + n]) for n in range(1, 7) for i in range(501 - n))
         for e, n in zip(ends, sizes, strict=True):
             assert n == max((k for k in range(1, 7) if count[tuple(text[e - k + 1 : e + 1])] >= often), default=0)
+        seeded = matching_statistics(index, text, ends, 6, np.full(len(ends), often), seeded=True)
+        assert np.array_equal(seeded[0], np.where(sizes < index.seeds[0], 0, sizes))
+        full = sizes == 6
+        assert len(set(zip(seeded[1][full], los[full], strict=True))) == len(set(los[full])) == len(set(seeded[1][full]))
     name = {}
     for e, n, lo in zip(ends, sizes, los, strict=True):
         if n == 6:
@@ -416,7 +420,7 @@ def test_tree_ranks_and_suffixes(seed):
     a, b = tree.ranks(c, lo, hi)
     assert all(a[i] == (text[: lo[i]] == c[i]).sum() and b[i] == (text[: hi[i]] == c[i]).sum() for i in range(300))
     for depth in (1, 3, 20):
-        suffixes = [tuple(text[i : i + depth]) for i in bounded_suffix_array(text, depth)]
+        suffixes = [tuple(text[i : i + depth]) for i in bounded_suffix_array(text, depth)[0]]
         assert suffixes == sorted(suffixes) and len(suffixes) == n
 
 

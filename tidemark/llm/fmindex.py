@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: The bits before each place of a word.
+_BEFORE = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -20,8 +21,7 @@ class Bits:
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         word = i >> 6
-        mask = (_ONE << (i & 63).astype(np.uint64)) - _ONE
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BEFORE[i & 63])
 
 
 class WaveletTree:
@@ -44,9 +44,8 @@ class WaveletTree:
         weight = np.int64(1) << (top - size[order])
         aligned = np.zeros(sigma, np.int64)
         aligned[order] = np.cumsum(weight) - weight
-        self.size = size
+        self.size, self.code, self.top = size.astype(np.uint8), aligned, top
         self.levels: list[tuple[Bits, np.ndarray, np.ndarray]] = []
-        self.bit: list[np.ndarray] = []
         for level in range(top):
             longer = size[order] > level
             prefix = aligned[order] >> (top - level)
@@ -61,7 +60,6 @@ class WaveletTree:
             bits = bit[symbols]
             vector = Bits(bits)
             self.levels.append((vector, start, vector.ones(start.astype(np.int64)).astype(np.int32)))
-            self.bit.append(bit)
             if level + 1 < top:
                 # the next level has the same symbols but those that end here, each node's zeros before its ones
                 stay = size[symbols] > level + 1
@@ -70,20 +68,22 @@ class WaveletTree:
                 symbols = symbols[_by_node(nodes)]
 
     def ranks(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = lo.copy(), hi.copy()
-        at = np.arange(len(c))
-        for level, ((bits, start, ones), bit) in enumerate(zip(self.levels, self.bit, strict=True)):
-            if level:
-                at = at[self.size[c[at]] > level]
-                if not len(at):
-                    break
-            s = c[at]
-            begin, before = start[s], ones[s]
-            a, b = bits.ones(begin + lo[at]) - before, bits.ones(begin + hi[at]) - before
-            one = bit[s]
-            lo[at] = np.where(one, a, lo[at] - a)
-            hi[at] = np.where(one, b, hi[at] - b)
-        return lo, hi
+        """How often each of ``c``, symbols that occur, stands before each of ``lo`` and of ``hi``."""
+        order = np.argsort(self.size[c], kind="stable")  # so that those with a code that goes on are a slice
+        s = c[order]
+        size, code = self.size[s], self.code[s]
+        x = np.stack([lo[order], hi[order]]).astype(np.int32)
+        for level, (bits, start, ones) in enumerate(self.levels):
+            k = int(np.searchsorted(size, level, "right"))
+            if k == len(s):
+                break
+            at = x[:, k:]
+            t = s[k:]
+            one = bits.ones(at + start[t]) - ones[t]
+            np.copyto(at, np.where((code[k:] >> (self.top - 1 - level)) & 1, one, at - one))
+        out = np.empty((2, len(s)), np.int64)
+        out[:, order] = x
+        return out[0], out[1]
 
 
 def _by_node(nodes: np.ndarray) -> np.ndarray:
@@ -93,15 +93,16 @@ def _by_node(nodes: np.ndarray) -> np.ndarray:
     return np.argsort(nodes, kind="stable")
 
 
-def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` sorted by their first ``depth`` symbols or more.
+def bounded_suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[int, np.ndarray, np.ndarray]]:
+    """Places of ``text`` sorted by their first ``depth`` symbols or more; and the seeds of the first sort.
 
     The first sort takes as many symbols as fit in 63 bits; after that only places that are still equal to another are
-    sorted again, by the ranks of what follows, so each round doubles what is compared.
+    sorted again, by the ranks of what follows, so each round doubles what is compared. Seeds are the number of
+    symbols of the first sort, and for each place the interval of the so many symbols that begin there.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), (1, np.zeros(0, np.int32), np.zeros(0, np.int32))
     width = max(1, int(text.max()).bit_length() + 1)
     length = min(depth, max(1, 63 // width))
     key = np.zeros(n, np.int64)
@@ -112,6 +113,12 @@ def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
+    groups = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(groups, n))
+    lo, hi = np.empty(n, np.int32), np.empty(n, np.int32)
+    lo[order] = np.repeat(groups, sizes)
+    hi[order] = np.repeat(groups + sizes, sizes)
+    seeds = (length, lo, hi)
     while True:
         # a place's rank is that of the first of its equals
         first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
@@ -119,7 +126,7 @@ def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
         if length >= depth or not tied.any():
-            return order
+            return order, seeds
         at = np.flatnonzero(tied)
         places = order[at]
         after = np.where(places + length < n, rank[np.minimum(places + length, n - 1)], 0)
@@ -139,10 +146,11 @@ class FMIndex:
     to cP by counting c before its ends in the transform; that count needs the order of suffixes by
     their first |P| symbols and no more, so the intervals of such patterns are exact. The suffix array is dropped when
     the transform is made: an interval's size says how often a pattern occurs, and its start names the pattern.
+    ``seeds`` are the intervals of the few symbols from each place of the text, as the first sort finds them.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        places = bounded_suffix_array(text, depth)
+        places, self.seeds = bounded_suffix_array(text, depth)
         self.before = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.before[1:])
         # the transform takes the text as a ring; patterns never hold the separator at the seam
@@ -155,23 +163,36 @@ class FMIndex:
         return self.before[c] + a, self.before[c] + b
 
 
-def matching_statistics(index: FMIndex, stream: np.ndarray, ends: np.ndarray, most: int, often: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def matching_statistics(index: FMIndex, stream: np.ndarray, ends: np.ndarray, most: int, often: np.ndarray, seeded: bool = False, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """For each of ``ends``: the length of the longest run of symbols of ``stream`` that ends there (inclusive) and occurs
-    ``often`` times or more in the index, up to ``most``; and the start of the interval of those that reach ``most``.
+    ``often`` times or more in the index, up to ``most``; and a name for the run of those that reach ``most``.
 
-    A run is extended to the left by backward search as long as its interval is large enough.
+    A run is extended to the left by backward search as long as its interval is large enough. The same runs have the
+    same name, the start of their interval. ``seeded``: the stream is the index's own text, ``most`` symbols stand before
+    each end, and runs begin with the index's seeds; a length below these is given as 0. A run that need only occur once
+    reaches ``most`` when it is the only one, and its name then also says how long it was.
     """
     sizes, los = np.zeros(len(ends), np.int32), np.zeros(len(ends), np.int64)
+    size, seed_lo, seed_hi = index.seeds if seeded else (0, None, None)
     for first in range(0, len(ends), block):
         at = np.arange(first, min(first + block, len(ends)))
-        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
-        for j in range(most):
-            lo, hi = index.extend(stream[ends[at] - j], lo, hi)
+        if seeded:
+            begin = ends[at] - size + 1
+            lo, hi = seed_lo[begin].astype(np.int64), seed_hi[begin].astype(np.int64)
+        else:
+            lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
+        for j in range(size, most + 1):
             on = hi - lo >= often[at]
             if not on.all():
                 at, lo, hi = at[on], lo[on], hi[on]
-            if not len(at):
+            sizes[at] = j
+            if j == most or not len(at):
                 break
-            sizes[at] = j + 1
+            if seeded:
+                alone = hi - lo == 1
+                if alone.any():
+                    sizes[at[alone]], los[at[alone]] = most, lo[alone] + (most - j) * (index.size + 1)
+                    at, lo, hi = at[~alone], lo[~alone], hi[~alone]
+            lo, hi = index.extend(stream[ends[at] - j], lo, hi)
         los[at] = lo
     return sizes, los

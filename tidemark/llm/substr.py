@@ -122,7 +122,7 @@ def _pack(items: list[tuple[bytes, tuple[Any, int, int, int]]]) -> bytes:
     import zstandard
 
     docs, th, starts = _ids([p[0] for _, p in items]), np.array([p[1] for _, p in items], np.int64), np.array([p[2] for _, p in items], np.int32)
-    return zstandard.compress(pickle.dumps((docs, th, starts, b"\n".join(k for k, _ in items)), 5), 6)
+    return zstandard.compress(pickle.dumps((docs, th, starts, b"\n".join(k for k, _ in items)), 5), 4)
 
 
 def _unpack(payload: bytes) -> Iterable[tuple[bytes, Any, int, int]]:
@@ -195,13 +195,6 @@ class Shard:
         words = Words(raw, np.array([0, len(raw)]))
         ends = np.append(np.flatnonzero(raw == 10), len(raw))
         sizes = np.diff(np.searchsorted(words.starts, ends), prepend=0)
-        # words are told apart by their 64-bit hashes
-        names, symbol = np.unique(words.hash, return_inverse=True)
-        del words
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        text = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
-        text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
-
         docs = [p[1] for p in self.places]
         seg, th, start = (np.array([p[i] for p in self.places], np.int64) for i in (0, 2, 3))
         known, doc = np.unique(np.array(docs, np.int64 if isinstance(docs[0], int) else object), return_inverse=True)
@@ -211,6 +204,17 @@ class Shard:
         new = np.ones(len(seg), bool)
         new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])
         seg, doc, th, start = seg[new], doc[new], th[new], start[new]
+
+        keep = _comparable(words, sizes, min(GRAM, length)) | (np.bincount(seg, minlength=len(sizes)) > 1)
+        inside = keep[seg]
+        seg, doc, th, start = (np.cumsum(keep) - 1)[seg[inside]], doc[inside], th[inside], start[inside]
+        # words are told apart by their 64-bit hashes
+        names, symbol = np.unique(words.hash[np.repeat(keep, sizes)], return_inverse=True)
+        sizes = sizes[keep]
+        del words, raw
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
+        text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
         copies = np.bincount(seg, minlength=len(sizes))
 
         counts = sizes - length + 1
@@ -220,7 +224,7 @@ class Shard:
         found, lo = matching_statistics(index, text, begins[which] + offset + length - 1, length, np.where(copies[which] > 1, 1, 2))
         del index, text
         hit = np.flatnonzero(found >= length)
-        # a window's occurrences all have its interval, whose start is its name: each is judged against the earliest
+        # a window's occurrences all have its name: each is judged against the earliest
         each = copies[which[hit]]
         window = np.repeat(hit, each)
         place = np.repeat((np.cumsum(copies) - copies)[which[hit]], each) + np.arange(len(window)) - np.repeat(np.cumsum(each) - each, each)
@@ -242,6 +246,26 @@ class Shard:
         return known[d[opens]], t[opens], at[opens], at[closes] + length
 
 
+def _comparable(words: Words, sizes: np.ndarray, gram: int) -> np.ndarray:
+    """Which segments may hold a window that stands elsewhere among them: equal windows have the same least n-gram.
+
+    They share it with another segment, or have it twice themselves. All others are left out of the index.
+    """
+    grams = words.grams(gram)[0]
+    begins = np.cumsum(sizes) - sizes
+    bounds = np.stack([begins, begins + np.maximum(sizes - gram + 1, 1)], 1).ravel()
+    grams = np.append(grams, np.uint64(0))  # a bound may lie at the end
+    least = np.minimum.reduceat(grams, bounds)[::2]
+    same = np.append(grams[: len(words)] == np.repeat(least, sizes), False)
+    twice = np.add.reduceat(same, bounds, dtype=np.int64)[::2] > 1
+    order = np.argsort(least, kind="stable")
+    shared = np.zeros(len(least), bool)
+    equal = least[order][1:] == least[order][:-1]
+    shared[order[1:][equal]] = True
+    shared[order[:-1][equal]] = True
+    return shared | twice
+
+
 def _search(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: Any, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
