@@ -126,6 +126,46 @@ def test_pages(spark):
     assert htmltext.extract_pages(pages.limit(0)).collect() == []
 
 
+PARAGRAPHS = [f"The {w} paragraph says something of interest, and it goes on for a while." for w in ("first", "second", "third", "fourth")]
+
+
+@pytest.mark.parametrize(
+    "middle",
+    [
+        "<button>Share",
+        "<button class=x><div>Share</div></button>",
+        "<button>Share</button><svg><path d='M0 0'/>",
+        "<svg><g><svg><text>inner</text></svg><text>label</text></g></svg>",
+        "<video src=a><source src=b>",
+        "<video><p>No video here, sadly.</p></video>",
+        "<select><option>One<option>Two</select>",
+        "<noscript><p>Please turn on scripts, dear reader.</p></noscript>",
+        "<!-- a comment > with more -->",
+        "<script>var a = '<p>not text, of course.</p>';</script>",
+        "<iframe src=x><p>not text, really.</p></iframe>",
+        '<img alt="a > b">',
+    ],
+)
+def test_what_is_skipped_ends_where_it_should(middle):
+    source = "<html><body><nav><a href=/>Home</a></nav><article>" + middle.join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</article><footer>Nobody reads this.</footer></body></html>"
+    assert htmltext.extract([source], htmltext.trained()) == [" ".join(PARAGRAPHS)]
+
+
+@pytest.mark.parametrize("start", ["<p title=it's>", "<p title='a'b>", '<p title="a>', "<p title='>", "<p ' \">", '<p title=a"b>', "<p title = \"x > y\" class='z'>", "<p data-a=\"1\"data-b='2'>"])
+def test_quotes_that_are_not_paired_lose_no_text(start):
+    source = "<html><body><article><h1>One title of it</h1>" + "".join(f"{start}{p}</p>" for p in PARAGRAPHS) + "</article></body></html>"
+    assert htmltext.extract([source], htmltext.trained()) == [" ".join(["One title of it", *PARAGRAPHS])]
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    for bit in ("<!--", "<button>", "<video>", "<svg>", "<p title='", '<a href="', "<script", "<b", "<textarea>", "<title>", "<noscript><div>"):
+        began = time.time()
+        htmltext.Page("<p>Some text.</p>" + (bit + " x ") * 40_000)
+        assert time.time() - began < 8, bit
+
+
 def test_pages_that_were_not_trained_on():
     writer, model = htmltext._Writer(77), htmltext.trained()
     right = kept = wanted = 0

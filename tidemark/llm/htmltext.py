@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from .boosting import Trees, fit
 
-#: Elements whose content is not text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea button datalist".split())
+#: Elements whose content is not markup and runs to their end tag, or else to the end of the page but for the last three.
+RAW = frozenset("script style textarea iframe title noembed noframes".split())
+#: Elements whose content is not text of the page: that hold other content in place of theirs, that hold words and no blocks, and drawings.
+CONTAINERS, CONTROLS, DRAWINGS = frozenset("noscript template object canvas audio video head".split()), frozenset("select option button datalist".split()), frozenset("svg math".split())
 #: Elements that end with their start tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin a block of text.
@@ -55,11 +57,93 @@ for _i, _words in enumerate(_ATTRIBUTES.values()):
     for _w in _words.split():
         _GROUP_OF.setdefault(_w, []).append(_i)
 _TAG_OF = {t: i for i, ts in enumerate(_TAGS) for t in ts}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+#: A quote opens a value only after an equals sign; a value whose end quote is missing, or is followed by what can't follow it, or that reaches into the next tag's, ends like one without quotes.
+_TOKEN = re.compile(
+    r"""<!--|<[!?][^>]*+(?:>|\Z)|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?>"[^">]*+"|'[^'>]*+'|"[^"]*+(?<!=)"(?=[\s/>])|'[^']*+(?<!=)'(?=[\s/>])|[^\s>]*+)|["'])*+)(?:>|\Z)"""
+)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: (begin, end, whether it is an end tag, tag or None, attributes) of a comment, raw element or tag.
+Token = tuple[int, int, bool, str | None, str]
+
+
+def tokens(source: str) -> list[Token]:
+    """The tags of a page in order. Raw elements are one token with their content; a comment without an end is one as far as its next ``>``."""
+    out: list[Token] = []
+    at, lower = 0, ""
+    closed: dict[str, bool] = {}  # what has no end any more need not be looked for again
+    while m := _TOKEN.search(source, at):
+        at, tag = m.end(), m[2]
+        if tag is None:
+            if m[0] == "<!--":
+                stop = source.find("-->", at) if closed.setdefault("--", True) else -1
+                closed["--"] = stop >= 0
+                at = stop + 3 if stop >= 0 else (source.find(">", at) + 1 or len(source))
+            out.append((m.start(), at, False, None, ""))
+            continue
+        tag = tag.lower()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            lower = lower or source.lower()
+            if len(lower) != len(source):  # a letter whose lower case is longer
+                lower = source
+            stop = lower.find(f"</{tag}", at) if closed.setdefault(tag, True) else -1
+            closed[tag] = stop >= 0
+            if stop >= 0:
+                at = source.find(">", stop) + 1 or len(source)
+            elif tag not in ("title", "noembed", "noframes"):
+                at = len(source)
+            out.append((m.start(), at, False, None, ""))
+        else:
+            out.append((m.start(), at, bool(m[1]), tag, m[3]))
+    return out
+
+
+def _past(found: list[Token], i: int, pairs: dict[int, int]) -> tuple[int, int]:
+    """(token, place) from which a page goes on after the skipped element that begins at token i.
+
+    That is after its end tag, if the blocks in between are whole. Without that a control or drawing ends at the next
+    block's tag, or where another of its kind begins, and of a container only the tag is skipped.
+    """
+    tag = found[i][3]
+    if tag in CONTAINERS and i not in pairs:
+        return i + 1, found[i][1]
+    stop = pairs.get(i, len(found))
+    depth, inner = 0, 0
+    for k in range(i + 1, stop):
+        begin, _, end_tag, t, _ = found[k]
+        if t == "foreignobject":
+            inner += -1 if end_tag else 1
+        if t in BLOCKS and t not in VOID:
+            depth += -1 if end_tag else 1
+            if depth < 0 or tag in DRAWINGS and not inner or stop == len(found) and tag not in CONTAINERS:
+                return k, begin
+        if t == tag and not end_tag and tag in CONTROLS:
+            return k, begin
+    if i in pairs:
+        return stop + 1, found[stop][1]
+    return stop, found[-1][1]
+
+
+def _pairs(found: list[Token]) -> dict[int, int]:
+    """For each start tag of a skipped element, its end tag: the next one of a control, the one at its level of others."""
+    open_at: dict[str, list[int]] = {}
+    out = {}
+    for k, (_, _, end_tag, t, attributes) in enumerate(found):
+        if t in CONTAINERS or t in CONTROLS or t in DRAWINGS:
+            stack = open_at.setdefault(t, [])
+            if end_tag:
+                if stack:
+                    out[stack.pop()] = k
+            elif not attributes.endswith("/"):
+                if t in CONTROLS:
+                    stack.clear()  # they don't nest: the one before has no end tag
+                stack.append(k)
+    return out
+
+
 class Page:
     """Block elements of a page in order: parent, tag, attribute groups, and texts as (node, text, characters in links)."""
 
@@ -87,23 +171,23 @@ class Page:
             in_link -= sum(t == "a" for t, _ in stack[depth:])
             del stack[depth:]
 
-        at, end = 0, len(source)
-        while at <= end:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else end
+        found = tokens(source)
+        pairs = _pairs(found)
+        at, number = 0, 0
+        while True:
+            stop = found[number][0] if number < len(found) else len(source)
             if stop > at:
                 piece = html.unescape(source[at:stop])
                 run.append(piece)
                 if in_link:
                     linked += len(piece)
-            if not m:
+            if number == len(found):
                 break
-            at = m.end()
-            tag = m[2]
+            _, at, end_tag, tag, attributes = found[number]
+            number += 1
             if tag is None:
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if end_tag:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
                         pop_to(i)
@@ -115,13 +199,9 @@ class Page:
                 if tag in ("br", "hr"):
                     run.append(" ")
                 continue
-            if tag in SKIPPED:
-                if not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    if close:
-                        at = close.end()
-                    elif tag not in ("head", "title"):
-                        at = end
+            if tag in CONTAINERS or tag in CONTROLS or tag in DRAWINGS:
+                if not attributes.endswith("/"):
+                    number, at = _past(found, number - 1, pairs)
                 continue
             if tag in _CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
@@ -144,8 +224,8 @@ class Page:
                 flush()
                 up = stack[-1][1]
                 groups, hidden = set(), False
-                if m[3].strip():
-                    for name, value in _ATTR.findall(m[3]):
+                if attributes.strip():
+                    for name, value in _ATTR.findall(attributes):
                         name, value = name.lower(), value.strip("\"'")
                         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                             hidden = True
@@ -475,8 +555,7 @@ class _Labelled(Page):
 
     def __init__(self, source: str):
         super().__init__(source)
-        opens = [m for m in _TOKEN.finditer(source) if m[2] and not m[1] and (m[2].lower() in BLOCKS) and m[2].lower() not in ("html", "body")]
-        labels = [_LABEL.search(m[3]) for m in opens]
+        labels = [_LABEL.search(a) for _, _, end_tag, tag, a in tokens(source) if tag in BLOCKS and not end_tag and tag not in ("html", "body")]
         self.label = [-1, *[int(m[1]) if m else -1 for m in labels]]
         assert len(self.label) == len(self.parent)
 
