@@ -215,6 +215,71 @@ def test_quality_learns_from_the_right_fold(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).collect() == []
 
 
+def test_ids_may_be_text(spark, docs, rows):
+    """The same results, whatever the ids' type is."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    some = docs.where("doc_id IS NOT NULL")
+    name = F.format_string("d%06d", "doc_id")
+    named, key = some.withColumn("doc_id", name), lambda i: f"d{i:06d}"
+    pieces = lambda x: Counter((p["doc_id"], p["start"]) for p in packing.pack(x, path, size=64).collect() if not p["start"])
+    assert pieces(named) == Counter({(key(i), s): n for (i, s), n in pieces(some).items()})
+    groups_ = lambda x: Counter((r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(x).collect())
+    assert groups_(named) == Counter({(key(i), f, key(c)): n for (i, f, c), n in groups_(some).items()})
+    assert Counter(r["doc_id"] for r in simhash.keep_first(named).collect()) == Counter(key(r["doc_id"]) for r in simhash.keep_first(some).collect())
+    kept = lambda x: Counter((r["doc_id"], r["text"]) for r in lines.drop_recurring_lines(x, min_docs=3, long_docs=3).collect())
+    assert kept(named) == Counter({(key(i), t): n for (i, t), n in kept(some).items()})
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows if i is not None], "doc_id long, quality int")
+    model = quality.train(named, labels.withColumn("doc_id", name))
+    assert {r["doc_id"] for r in quality.score(named, model).collect()} == {key(i) for i, _ in rows if i is not None}
+    assert {r["doc_id"] for r in secrets.scan(named).collect()} == {key(i) for i, _ in rows if i is not None}
+
+
+def test_ids_that_repeat_with_other_texts_lose_nothing(spark):
+    r = random.Random(31)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    footer = text(6)
+    rows = [(i % 7, "\n".join([text(20), text(15), footer])) for i in range(40)]
+    docs = frame(spark, rows).repartition(3)
+    got = Counter((x["doc_id"], x["text"]) for x in lines.drop_recurring_lines(docs).collect())
+    cut = Counter((i, t.removesuffix("\n" + footer)) for i, t in rows)
+    assert sum((got - cut).values()) == 1 and all(t.endswith(footer) for _, t in got - cut)
+    assert Counter((x["doc_id"], x["text"]) for x in simhash.keep_first(docs).collect()) == Counter(rows)
+    twice = frame(spark, rows + rows[:10])
+    assert Counter((x["doc_id"], x["text"]) for x in simhash.keep_first(twice).collect()) == Counter(rows)
+
+
+def test_very_long_texts(spark):
+    """One long document among short ones, through every operator: whole, and in time that follows its length."""
+    r = random.Random(33)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(25_000))
+    item = " ".join(r.choice(words) for _ in range(30))
+    secret = "key " + " ".join(f"{i:024x}" for i in range(3000))
+    rows = [(1, long), (2, long[1_000_000:1_000_600]), (3, "short one"), (4, long + " " + item), (5, secret), (6, "x" * 300_000)]
+    docs = frame(spark, rows).repartition(2)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [x["doc_id"] for x in decontam.contaminated(docs, bench).collect()] == [4]
+    gone = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substr.remove_repeats(docs).collect()}
+    assert gone[1] == (300_000, 0) and gone[4] == (300_030, 300_000) and gone[2][1] > 20
+    groups_ = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()}
+    assert groups_[4] == 1 and groups_[3] == 3 and {x["doc_id"] for x in simhash.keep_first(docs).collect()} == {1, 2, 3, 5, 6}
+    assert {x["doc_id"]: x["n_lines"] for x in lines.line_report(docs).collect()}[1] == 25_000
+    spans = {x["doc_id"]: x["n"] for x in secrets.scan(docs).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert spans == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3000, 6: 0}
+    assert {x["doc_id"]: x["n_words"] for x in rules.score(docs).collect()}[1] == 300_000
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    total = Counter()
+    for p in packing.pack(docs, path, size=1024).select("doc_id", "length", "doc_tokens").collect():
+        total[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert all(n == tokens for (_, tokens), n in total.items()) and len(total) == 6
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (6, 0)], "doc_id long, quality int")
+    assert quality.score(docs, quality.train(docs, labels)).count() == 6
+    hosts = [".".join(["a"] * 2000) + ".com", "b.net", "x" * 100_000]
+    pages = spark.createDataFrame([(i, f"http://{h}/{'p' * 50_000}") for i, h in enumerate(hosts)], "page_id long, url string")
+    known = spark.createDataFrame([("com", "/", "block"), ("a.a.com", "/p", "allow")], "host string, path string, verdict string")
+    assert [x["verdict"] for x in urls.judge(pages, known).orderBy("page_id").collect()] == ["allow", "allow", "allow"]
+
+
 # 4
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut
 
@@ -177,18 +178,18 @@ def _powers(pieces: list[tuple], size: int) -> list[list[tuple]]:
     return out
 
 
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
-_ARROW = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task")], ("ids", pa.binary())])
+_NUMBERS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task"]
+_NAMES = ["doc_id", *_NUMBERS, "ids"]
 
 
 def _rows(sequences: Iterable[list[tuple]], first: int, task: int | None) -> dict[str, list]:
     """Columns of the pieces of ``sequences``; with a task number they are leftovers and keep their ids."""
-    out: dict[str, list] = {c: [] for c in _ARROW.names}
+    out: dict[str, list] = {c: [] for c in _NAMES}
     for number, pieces in enumerate(sequences):
         at = 0
         for doc_id, start, ids, tokens in pieces:
             n = len(ids) // 4
-            for c, v in zip(_ARROW.names, (doc_id, start, n, zlib.crc32(ids), tokens, first + number, at, task, None if task is None else ids), strict=True):
+            for c, v in zip(_NAMES, (doc_id, start, n, zlib.crc32(ids), tokens, first + number, at, task, None if task is None else ids), strict=True):
                 out[c].append(v)
             at += n
     return out
@@ -215,10 +216,14 @@ def pack(
     powers of two, which aren't padded.
 
     Null and empty texts are documents of the single token ``end_id``. Repeated rows are packed as often
-    as they occur, a null id stays null. An empty table gives no rows. tokenizer: path of a byte-level
+    as they occur, a null id stays null, and ids may be of any type. An empty table gives no rows. tokenizer: path of a byte-level
     BPE file of the ``tokenizers`` library that every executor can read.
     """
 
+    kind = docs.schema[id_col].dataType
+    schema = ", ".join([f"doc_id {kind.simpleString()}", *[f"{c} long" for c in _NUMBERS], "ids binary"])
+    arrow = pa.schema([("doc_id", to_arrow_type(kind)), *[(c, pa.int64()) for c in _NUMBERS], ("ids", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -232,23 +237,23 @@ def pack(
                     ids = encoder.encode(text or "") + end
                     windows.add(doc_id, ids, 0, len(ids) // 4)
                 if windows.done:
-                    yield pa.RecordBatch.from_pydict(_rows(windows.done, number, None), schema=_ARROW)
+                    yield pa.RecordBatch.from_pydict(_rows(windows.done, number, None), schema=arrow)
                     number += len(windows.done)
                     windows.done = []
         windows.flush()
-        yield pa.RecordBatch.from_pydict(_rows(windows.done, number, None), schema=_ARROW)
-        yield pa.RecordBatch.from_pydict(_rows((p for _, p in windows.open), 0, task), schema=_ARROW)
+        yield pa.RecordBatch.from_pydict(_rows(windows.done, number, None), schema=arrow)
+        yield pa.RecordBatch.from_pydict(_rows((p for _, p in windows.open), 0, task), schema=arrow)
 
     def merge(group: pa.Table) -> pa.Table:
         windows = Windows(size, 1, min_piece)
         group = group.sort_by([("task", "ascending"), ("offset", "ascending")])
         windows.append(zip(*[group.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")], strict=True))
         last = [s for _, p in windows.open for s in _powers(p, size)]
-        return pa.Table.from_pydict(_rows(windows.done + last, (1 << 62) + (group.column("task")[0].as_py() << 20), None), schema=_ARROW)
+        return pa.Table.from_pydict(_rows(windows.done + last, (1 << 62) + (group.column("task")[0].as_py() << 20), None), schema=arrow)
 
     # kept: the rows and the leftovers come from one run, so a lost executor can't mix two packings
-    packed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA))
+    packed = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
     left = packed.where("task IS NOT NULL")
-    merged = left.groupBy(F.floor(F.col("task") / MERGE_FAN_IN).alias("g")).applyInArrow(merge, _SCHEMA)
+    merged = left.groupBy(F.floor(F.col("task") / MERGE_FAN_IN).alias("g")).applyInArrow(merge, schema)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return packed.where("task IS NULL").select(names).unionByName(merged.select(names))

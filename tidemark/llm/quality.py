@@ -169,17 +169,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, fold: int = 5) -> Model:
     """A model of at most ``max_labelled`` labelled rows outside the held-out fold (crc32 of the id modulo ``fold`` is 0).
 
-    The rows are the first by a hash of the id. Only labels and whole texts are used.
+    The rows are the first by a hash of the id, which may be of any type; of texts that repeat an id the one with the
+    least hash is taken, and of labels the least. Only labels and whole texts are used.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % fold != 0))
-    ids = ids.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).cast("int").alias("y"))
+    ids = ids.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
     spark = docs.sparkSession
+    kind = labels.schema[id_col].dataType.simpleString()
     picked = [(r["i"], r["y"]) for r in ids.collect()]
-    sample = spark.createDataFrame(picked, "i long, y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    sample = spark.createDataFrame(picked, f"i {kind}, y int")
+    rows = docs.select(F.col(id_col).cast(kind).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # at most max_labelled ids
-    rows = rows.join(F.broadcast(sample), "i").dropDuplicates(["i"]).select("i", "y", "t")
+    rows = rows.join(F.broadcast(sample), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("i", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 out += [feature[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["i", "y", "f"])
 
-    got = rows.mapInArrow(run, "i long, y int, f binary").toArrow()
+    got = rows.mapInArrow(run, f"i {kind}, y int, f binary").toArrow()
     # in the order of the hash again, so that no fold of the fit follows the ids
     place = {i: n for n, (i, _) in enumerate(picked)}
     order = sorted(range(got.num_rows), key=[place[i] for i in got.column("i").to_pylist()].__getitem__)
