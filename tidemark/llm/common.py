@@ -40,7 +40,7 @@ HOT_SHARE = 2000
 #: Keys with fewer rows are never hot.
 HOT_ROWS = 200
 #: A lookup table of so many rows at most goes to all tasks whole.
-FEW_KEYS = 20_000
+FEW_KEYS = 2_000
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:

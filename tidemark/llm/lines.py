@@ -48,28 +48,29 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, lead: int) -> DataFrame:
 def leaf_templates(docs: DataFrame, base: DataFrame, by_line: DataFrame, id_col: str, text_col: str, lead: int, least: int) -> DataFrame:
     """``leaf, h, t``: templates ``t`` of the lines (of hash ``h``) that share a leaf with others.
 
-    At a leaf (token count and leading tokens) that lines of ``least`` documents reach, a position's token is part of
-    the template if it is in over half of the leaf's lines or, for a second template, in ``least`` of them; any other
-    position is a variable field, wherever it stands, so a leaf may hold several templates. Lines with the same fixed
+    At a leaf (token count and leading tokens) of ``least`` lines or more, a position's token is part of
+    the template if it is in over 3 of 4 of the leaf's lines or, for further templates, in over half or in ``least`` of
+    them; any other position is a variable field, wherever it stands, so a leaf may hold several templates. Lines with the same fixed
     tokens share one, if these are more than the leading ones, 3 of 5 tokens or more, and not all. Only the distinct
-    lines of such leaves are split into words, each taken from one document, and count as often as documents hold them.
+    lines of such leaves are split into words, each taken from one document, and count as often as they stand anywhere.
     """
     long = by_line.where(F.col("n") > lead)
-    full = long.groupBy("leaf").agg(F.sum("docs").alias("lines"), F.count("*").alias("kinds"), F.count("*").alias("weight")).where((F.col("lines") >= least) & (F.col("kinds") > 1))
-    mixed = cut(join_hot(long, cut(full.drop("kinds")), ["leaf"], "weight").select("leaf", "h", "n", "docs", "rows", "lines"))
+    full = long.groupBy("leaf").agg(F.sum("rows").alias("lines"), F.count("*").alias("kinds"), F.count("*").alias("weight")).where((F.col("lines") >= least) & (F.col("kinds") > 1))
+    mixed = cut(join_hot(long, cut(full.drop("kinds")), ["leaf"], "weight").select("leaf", "h", "n", "rows", "lines"))
     place = F.min(F.struct("id", "th", "no")).alias("p")
     places = join_hot(base.select("id", "th", "no", "leaf", "h"), mixed.select("leaf", "h", "rows"), ["leaf", "h"], "rows").groupBy("leaf", "h").agg(place)
     places = cut(places.select("leaf", "h", "p.id", "p.th", "p.no"))
     there = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
     raws = row_keys(docs, id_col, text_col).join(there, ["id", "th"]).select("leaf", "h", F.get(F.split("text", "\n", -1), F.col("no")).alias("raw"))
-    words = normal(raws).select("leaf", "h", F.split("line", " ").alias("words")).dropDuplicates(["leaf", "h"])
-    words = cut(words.join(mixed.select("leaf", "h", "n", "docs", "lines"), ["leaf", "h"]).select("leaf", "h", "n", "docs", "lines", F.posexplode("words").alias("at", "word")))
-    counts = cut(words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("held"), F.count("*").alias("weight")).where(F.col("held") >= 2))
-    both = join_hot(words, counts, ["leaf", "at", "word"], "weight")
-    fixed = [F.array_sort(F.collect_list(F.when(rule, F.struct("at", "word")))).alias(f) for f, rule in (("f0", 2 * F.col("held") > F.col("lines")), ("f1", F.col("held") >= least))]
-    found = both.groupBy("leaf", "h", "n").agg(*fixed).select("leaf", "h", "n", F.explode(F.array("f0", "f1")).alias("f"))
-    k = F.size("f")
-    return found.where((k > lead) & (5 * k >= 3 * F.col("n")) & (k < F.col("n"))).select("leaf", "h", F.xxhash64(F.lit(3), "leaf", "f").alias("t")).distinct()
+    words = normal(raws).select("leaf", "h", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["leaf", "h"])
+    words = cut(words.join(mixed, ["leaf", "h"]).select("leaf", "h", "n", "rows", "lines", F.posexplode("words").alias("at", "word")))
+    counts = cut(words.groupBy("leaf", "at", "word").agg(F.sum("rows").alias("held"), F.count("*").alias("weight")).where(F.col("held") >= 2))
+    both = join_hot(words, counts, ["leaf", "at", "word"], "weight").withColumn("token", F.xxhash64("at", "word"))
+    rules = (4 * F.col("held") > 3 * F.col("lines"), 2 * F.col("held") > F.col("lines"), F.col("held") >= least)
+    # the fixed tokens of a template, in any order
+    fixed = F.array(*[F.struct(F.count_if(rule).alias("k"), F.bit_xor(F.when(rule, F.col("token"))).alias("x")) for rule in rules])
+    found = both.groupBy("leaf", "h", "n").agg(fixed.alias("f")).select("leaf", "h", "n", F.inline("f"))
+    return found.where((F.col("k") > lead) & (5 * F.col("k") >= 3 * F.col("n")) & (F.col("k") < F.col("n"))).select("leaf", "h", F.xxhash64(F.lit(3), "leaf", "k", "x").alias("t")).distinct()
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, long_docs: int = 5, lead: int = 2, least_words: int = 12) -> DataFrame:
@@ -86,11 +87,10 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     doc = ["id", "th"]
     # the one pass over all words: what follows reads hashes, and the words of few lines
     base = cut(_lines(docs, id_col, text_col, lead))
-    held = base.groupBy("leaf", "h", "n", *doc).agg(F.count("*").alias("rows"))
-    by_line = cut(held.groupBy("leaf", "h", "n").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows")))
+    by_line = cut(base.groupBy("leaf", "h", "n").agg(F.count("*").alias("rows")))
     enough = F.when(F.col("n") >= least_words, long_docs).otherwise(min_docs)
-    # a line is its own template, and has up to two of its leaf
-    own = by_line.where(F.col("docs") >= enough).select("leaf", "h", F.col("h").alias("t"))
+    # a line is its own template, and has up to three of its leaf
+    own = by_line.where(F.col("rows") >= enough).select("leaf", "h", F.col("h").alias("t"))
     learnt = leaf_templates(docs, base, by_line, id_col, text_col, lead, min(min_docs, long_docs))
     of_line = own.union(learnt).groupBy("leaf", "h").agg(F.collect_set("t").alias("ts"))
     of_line = cut(of_line.join(by_line.select("leaf", "h", "rows"), ["leaf", "h"]))
