@@ -186,15 +186,46 @@ class Shard:
     def add(self, segment: bytes, doc: Any, th: int, start: int) -> None:
         self.places.append((self.number.setdefault(segment, len(self.number)), doc, th, start))
 
+    def _words(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of the segments' words, their numbers of words, and which may hold a window that stands elsewhere.
+
+        Equal windows have the same least n-gram: they share it with another segment, or have it twice in their own.
+        All other segments are left out of the index. A run of segments is hashed at a time.
+        """
+        hashes, sizes, least, twice = [], [], [], []
+        segments_, at = list(self.number), 0
+        while at < len(segments_):
+            end, total = at, 0
+            while end < len(segments_) and total < CHUNK_BYTES:
+                total += len(segments_[end])
+                end += 1
+            raw = np.frombuffer(b"\n".join(segments_[at:end]), np.uint8)
+            at = end
+            words = Words(raw, np.array([0, len(raw)]))
+            n = np.diff(np.searchsorted(words.starts, np.append(np.flatnonzero(raw == 10), len(raw))), prepend=0)
+            begins = np.cumsum(n) - n
+            bounds = np.stack([begins, begins + np.maximum(n - gram + 1, 1)], 1).ravel()
+            grams = np.append(words.grams(gram)[0], np.uint64(0))  # a bound may lie at the end
+            low = np.minimum.reduceat(grams, bounds)[::2]
+            same = np.append(grams[:-1] == np.repeat(low, n), False)
+            hashes.append(words.hash)
+            sizes.append(n)
+            least.append(low)
+            twice.append(np.add.reduceat(same, bounds, dtype=np.int64)[::2] > 1)
+        low = np.concatenate(least)
+        order = np.argsort(low, kind="stable")
+        equal = low[order][1:] == low[order][:-1]
+        shared = np.zeros(len(low), bool)
+        shared[order[1:][equal]] = True
+        shared[order[:-1][equal]] = True
+        return np.concatenate(hashes), np.concatenate(sizes), shared | np.concatenate(twice)
+
     def spans(self, length: int) -> tuple[Any, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, hashes of texts, starts, stops) of runs of windows that stand earlier too, as the index says."""
         none = np.zeros(0, np.int64)
         if not self.places:
             return none, none, none, none
-        raw = np.frombuffer(b"\n".join(self.number), np.uint8)
-        words = Words(raw, np.array([0, len(raw)]))
-        ends = np.append(np.flatnonzero(raw == 10), len(raw))
-        sizes = np.diff(np.searchsorted(words.starts, ends), prepend=0)
+        hashes, sizes, comparable = self._words(min(GRAM, length))
         docs = [p[1] for p in self.places]
         seg, th, start = (np.array([p[i] for p in self.places], np.int64) for i in (0, 2, 3))
         known, doc = np.unique(np.array(docs, np.int64 if isinstance(docs[0], int) else object), return_inverse=True)
@@ -205,13 +236,13 @@ class Shard:
         new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])
         seg, doc, th, start = seg[new], doc[new], th[new], start[new]
 
-        keep = _comparable(words, sizes, min(GRAM, length)) | (np.bincount(seg, minlength=len(sizes)) > 1)
+        keep = comparable | (np.bincount(seg, minlength=len(sizes)) > 1)
         inside = keep[seg]
         seg, doc, th, start = (np.cumsum(keep) - 1)[seg[inside]], doc[inside], th[inside], start[inside]
         # words are told apart by their 64-bit hashes
-        names, symbol = np.unique(words.hash[np.repeat(keep, sizes)], return_inverse=True)
+        names, symbol = np.unique(hashes[np.repeat(keep, sizes)], return_inverse=True)
         sizes = sizes[keep]
-        del words, raw
+        del hashes
         begins = np.cumsum(sizes + 1) - sizes - 1
         text = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
         text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
@@ -246,26 +277,6 @@ class Shard:
         return known[d[opens]], t[opens], at[opens], at[closes] + length
 
 
-def _comparable(words: Words, sizes: np.ndarray, gram: int) -> np.ndarray:
-    """Which segments may hold a window that stands elsewhere among them: equal windows have the same least n-gram.
-
-    They share it with another segment, or have it twice themselves. All others are left out of the index.
-    """
-    grams = words.grams(gram)[0]
-    begins = np.cumsum(sizes) - sizes
-    bounds = np.stack([begins, begins + np.maximum(sizes - gram + 1, 1)], 1).ravel()
-    grams = np.append(grams, np.uint64(0))  # a bound may lie at the end
-    least = np.minimum.reduceat(grams, bounds)[::2]
-    same = np.append(grams[: len(words)] == np.repeat(least, sizes), False)
-    twice = np.add.reduceat(same, bounds, dtype=np.int64)[::2] > 1
-    order = np.argsort(least, kind="stable")
-    shared = np.zeros(len(least), bool)
-    equal = least[order][1:] == least[order][:-1]
-    shared[order[1:][equal]] = True
-    shared[order[:-1][equal]] = True
-    return shared | twice
-
-
 def _search(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: Any, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ _powers: list[np.ndarray] = []
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 19, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 19)) << 19
         out = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
