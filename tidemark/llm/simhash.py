@@ -17,8 +17,8 @@ from .wordhash import Words, mix, shingle_hashes
 
 #: A table key with more stored fingerprints than this, and the keys one bit beside it, are searched in blocks.
 HOT_KEY = 64
-#: Fingerprints on each side of a block pair.
-BLOCK = 1024
+#: Fingerprints on each side of a block pair, and rows of it that are compared at once.
+BLOCK, STRIP = 4096, 256
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -121,13 +121,16 @@ def _block_forest(distance: int, wide: list[str], wide_distance: int):
         """A spanning forest of the links between the block's stored and searching nodes."""
         left, right = block[block["side"] == 0], block[block["side"] == 1]
 
-        def apart(column: str) -> np.ndarray:
+        def apart(column: str, rows: slice) -> np.ndarray:
             x, y = (side[column].to_numpy(np.int64).view(np.uint64) for side in (left, right))
-            return np.bitwise_count(x[:, None] ^ y[None, :])
-
-        near = apart("fp") <= distance
-        if wide:
-            near &= sum(apart(c).astype(np.int16) for c in wide) <= wide_distance
+            return np.bitwise_count(x[rows, None] ^ y[None, :])
+
+        near = np.zeros((len(left), len(right)), bool)
+        for first in range(0, len(left), STRIP):
+            rows = slice(first, first + STRIP)
+            near[rows] = apart("fp", rows) <= distance
+            if wide:
+                near[rows] &= sum(apart(c, rows).astype(np.int16) for c in wide) <= wide_distance
         names_left, names_right = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
         open_left, open_right = np.ones(len(left), bool), np.ones(len(right), bool)
         a: list[np.ndarray] = []
@@ -161,9 +164,8 @@ def near_links(nodes: DataFrame, distance: int = 4, segments: int | None = None,
     ``segments``, by default as many as suit the number of nodes, and two that are near each other lie in each
     other's Hamming ball (radius 0 to 2) in some segment. Every node is stored under each of its segments, looks up
     the ball around each, and whole distances are verified in the join. Around keys with more
-    than ``hot_key`` nodes, where near copies in their thousands would make a pair each, stored
-    and searching rows are dealt into blocks, and every pair of blocks yields a spanning forest of its
-    links only; no pair of nodes is skipped.
+    than ``hot_key`` nodes, where near copies in their thousands would make a pair each, ``_hot_links`` finds
+    links that connect the same nodes.
     """
     wide = wide or []
     radii = _radii(distance, segments or choose_segments(distance, nodes.count()))
@@ -201,23 +203,43 @@ def near_links(nodes: DataFrame, distance: int = 4, segments: int | None = None,
 
 
 def _hot_links(rows: DataFrame, distance: int, wide: list[str], wide_distance: int, block: int) -> DataFrame:
-    """A spanning forest of each pair of blocks of stored (``side`` 0) and searching rows of one key."""
+    """Links that connect what the links between stored (``side`` 0) and searching rows of each key connect.
+
+    Rows that are near their key's least node are linked to it, so no pair of them need be compared. What is left,
+    few rows among near copies, is dealt into blocks and compared with all rows of its key, block pair by block
+    pair, each of which gives a spanning forest.
+    """
+    of = ["fp", *wide]
+    pivots = cut(rows.groupBy("key").agg(F.min_by(F.struct("node", *of), "node").alias("p"), F.count("*").alias("weight")))
+    rows = join_hot(rows, pivots, ["key"], "weight")
+
+    def apart(column: str) -> F.Column:
+        return F.bit_count(F.col(column).bitwiseXOR(F.col(f"p.{column}")))
+
+    near = apart("fp") <= distance
+    if wide:
+        near = near & (reduce(F.Column.__add__, map(apart, wide)) <= wide_distance)
+    rows = cut(rows.select("key", "node", *of, "side", near.alias("star"), F.col("p.node").alias("pivot")))
+    star = rows.where(F.col("star") & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # stored rows that are left meet all searching ones, and the others those that are left
+    sets = F.when(F.col("side") == 0, F.array(F.when(F.col("star"), 1).otherwise(0))).otherwise(F.when(F.col("star"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    rows = rows.select("key", F.explode(sets).alias("set"), "node", *of, "side")
     counts = [F.ceil(F.sum((F.col("side") == s).cast("long")) / block).cast("int").alias(f"n{s}") for s in (0, 1)]
-    parts = cut(rows.groupBy("key").agg(*counts, F.count("*").alias("weight")).where("n0 > 0 and n1 > 0"))
-    dealt = join_hot(rows, parts, ["key"], "weight")
+    parts = cut(rows.groupBy("key", "set").agg(*counts, F.count("*").alias("weight")).where("n0 > 0 and n1 > 0"))
+    dealt = join_hot(rows, parts, ["key", "set"], "weight")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)
-    what = ["key", "node", "fp", *wide, "side"]
+    what = ["key", "set", "node", *of, "side"]
     dealt = dealt.select(*what, own.alias("own"), F.explode(other).alias("other"))
     dealt = dealt.select(*what, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("b0"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("b1"))
-    return dealt.groupBy("key", "b0", "b1").applyInPandas(_block_forest(distance, wide, wide_distance), "a long, b long")
+    return star.union(dealt.groupBy("key", "set", "b0", "b1").applyInPandas(_block_forest(distance, wide, wide_distance), "a long, b long"))
 
 
 def band_links(nodes: DataFrame, bands: str, wide: list[str], wide_distance: int, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` that connect what all pairs with a common key in the array ``bands`` would connect.
 
     A pair is linked if its fingerprints ``wide`` differ in at most ``wide_distance`` bits together. Keys with
-    more than ``hot_key`` nodes are searched in blocks, as in ``near_links``; no pair of nodes is skipped.
+    more than ``hot_key`` nodes are searched as in ``near_links``.
     """
     keyed = nodes.select(F.explode(bands).alias("key"), "node", *wide)
     hot = cut(keyed.groupBy("key").agg(F.count("*").alias("weight")).where(F.col("weight") > hot_key))
