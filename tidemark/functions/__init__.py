@@ -30,9 +30,12 @@ def trim_right(text: Column) -> Column:
 
 
 def fold_identifier(name: Column, most: int = 63) -> Column:
-    """Lower-cased A-Z, and at most 63 characters."""
+    """Lower-cased A-Z, and as many whole characters as fit in ``most`` bytes of UTF-8."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.substring(F.translate(name, upper, lower), 1, most)
+    text = F.substring(F.translate(name, upper, lower), 1, most)
+    # 63 bytes hold between 15 and 63 characters: the longest of the few prefixes that fits
+    sizes = F.filter(F.sequence(F.lit(0), F.length(text)), lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= most)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), F.array_max(sizes)))
 
 
 def _two_places(numerator: Column, unit: int) -> Column:

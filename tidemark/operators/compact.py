@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import row_hash
 from ..schema import BARRIERS
+from .dictionary import as_of
+from .transactions import running
 
 
 def decompose(log: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -67,12 +69,12 @@ def annihilated(log: DataFrame, keys: list[str], order: list[str] | None = None)
 def segments(log: DataFrame, order: str = "lsn", table: str = "table") -> DataFrame:
     """Adds ``segment``: how many barriers (DDL, truncate, markers) of the table came before.
 
-    The barriers' places travel as one array for each table, not as a sort of the whole log.
+    Only barriers are numbered; the log's rows look the latest one up, in ranges of the log.
     """
-    at = log.where(F.col("op").isin(*BARRIERS)).groupBy(table).agg(F.sort_array(F.collect_set(order)).alias("__barriers"))
-    joined = log.join(at, table, "left")
-    n = F.coalesce(F.size(F.filter("__barriers", lambda b: b <= F.col(order))), F.lit(0))
-    return joined.withColumn("segment", F.greatest(n, F.lit(0)).cast("long")).drop("__barriers")
+    at = log.where(F.col("op").isin(*BARRIERS)).select(F.col(table).alias("__t"), F.col(order).alias("__b")).distinct()
+    numbered = running(at, ["__t"], "__b", F.lit(1), "__n").select(F.col("__t").alias(table), "__b", (F.col("__n") + 1).alias("__segment"))
+    out = as_of(log, numbered, [table], order, "__b", ["__segment"])
+    return out.withColumn("segment", F.coalesce("__segment", F.lit(0)).cast("long")).drop("__segment")
 
 
 def after_truncate(log: DataFrame, order: str = "lsn", table: str = "table") -> DataFrame:
@@ -107,11 +109,8 @@ def insert_batches(inserts: DataFrame, missing: str = "missing_after") -> DataFr
 
 def pair_halves(inserts: DataFrame, deletes: DataFrame, by: list[str]) -> DataFrame:
     """Inserts beside equal deletes, one to one: the n-th of one with the n-th of the other."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(by).orderBy("lsn")
-    i = inserts.withColumn("__n", F.row_number().over(w)).withColumnRenamed("lsn", "insert_lsn")
-    d = deletes.withColumn("__n", F.row_number().over(w)).withColumnRenamed("lsn", "delete_lsn")
+    i = running(inserts, by, "lsn", F.lit(1), "__n").withColumnRenamed("lsn", "insert_lsn")
+    d = running(deletes, by, "lsn", F.lit(1), "__n").withColumnRenamed("lsn", "delete_lsn")
     return i.join(d.select(*by, "__n", "delete_lsn"), [*by, "__n"]).drop("__n")
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that an as-of lookup sorts key by key; more are dealt into ranges.
+RANGE_ROWS = 1_000_000
 
 
 def resolve(changes: DataFrame, key: str, levels: list[DataFrame], value: str) -> DataFrame:
@@ -31,20 +35,26 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_
     """``left`` with the values of the latest row of ``right`` at or before it, of the same ``by``.
 
     The two sides are laid together, sorted once within ``by``, and the latest values carried forward:
-    no pair of rows is made. Where a key may hold a large part of all rows and ``at`` is a number,
-    ``range_width`` deals each key's rows into ranges of that width, each sorted on its own; what a range
-    begins with comes from one row for each key and range.
+    no pair of rows is made. A key may hold a large part of all rows, so each key's rows are dealt into ranges of
+    ``range_width`` (of a whole number, or seconds of a time), each sorted on its own; what a range begins with comes
+    from one row for each key and range. By default the width follows the positions, and RANGE_ROWS rows or fewer
+    are one range.
     """
     l_rows = left.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(_struct(right, values)).alias("__v"))
     r_rows = right.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l_rows.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__v"))
     keys = [f"__b_{b}" for b in by]
     both = l_rows.unionByName(r_rows)
     order = [F.col("__at"), F.col("__side")]
-    if range_width is None:
+    place = _place(F.col("__at"), left.schema[left_at].dataType)
+    if range_width is None and place is not None:
+        low, high, n = both.agg(F.min(place), F.max(place), F.count("*")).first()
+        if n > RANGE_ROWS:
+            range_width = max(1, (high - low) // (8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if range_width is None or place is None:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w))
     else:
-        both = both.withColumn("__range", F.floor(F.col("__at") / range_width))
+        both = both.withColumn("__range", F.floor(place / range_width))
         ends = both.groupBy(*keys, "__range").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__at"))).alias("__end"))
         earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
         begins = ends.withColumn("__begin", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
@@ -55,6 +65,15 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_
     return out.where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
+def _place(at: Column, kind: T.DataType) -> Column | None:
+    """A whole number that follows the order of ``at``, or None."""
+    if isinstance(kind, T.IntegralType):
+        return at.cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_date(at.cast("date")).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_date(at).cast("long") * 86_400 if isinstance(kind, T.DateType) else None
+
+
 def _struct(df: DataFrame, values: list[str]) -> str:
     return "struct<" + ",".join(f"`{v}`:{df.schema[v].dataType.simpleString()}" for v in values) + ">"
 
@@ -89,6 +108,18 @@ def drop_dependants(dependants: DataFrame, dictionary: DataFrame, key: str = "oi
     return dependants.join(dictionary.select(key), key, "left_semi")
 
 
+def real_oids(changes: DataFrame, moved: DataFrame, key: str = "relid", prefix: str = "pg_temp_") -> DataFrame:
+    """``changes`` whose ``key`` is a table that rewrites another for a while, under the oid of the other.
+
+    moved: oid, name; the name of such a table is the prefix and the real oid. Others are left out; up to
+    as many rows as catalogs have tables under rewrite are sent to all tasks after a count.
+    """
+    real = moved.where(F.col("name").rlike(f"^{prefix}[0-9]+$")).select(F.col("oid").alias("__temp"), F.substring("name", len(prefix) + 1, 20).cast("long").alias("__real"))
+    few = real.limit(10_001).count() <= 10_000
+    out = changes.join(F.broadcast(real) if few else real, F.col(key) == F.col("__temp"), "left")
+    return out.withColumn(key, F.coalesce("__real", key)).drop("__temp", "__real")
+
+
 def history_entries(changes: DataFrame, catalogs: dict[str, str]) -> DataFrame:
     """Dictionary entries of catalog row changes: ``catalog`` (by table name), op, lsn, xid, image."""
     kinds = F.create_map(*[F.lit(x) for kv in catalogs.items() for x in kv])

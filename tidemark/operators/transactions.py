@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 
 
 def roll_up(changes: DataFrame, parents: DataFrame) -> DataFrame:
-    """Changes of sub-transactions under their top parent's xid; parents: sub_xid, xid (of any depth up to 2)."""
-    p = parents.select("sub_xid", F.col("xid").alias("__parent"))
-    up = p.join(parents.select(F.col("sub_xid").alias("__parent"), F.col("xid").alias("__top")), "__parent", "left").select("sub_xid", F.coalesce("__top", "__parent").alias("__top"))
+    """Changes of sub-transactions under their top parent's xid; parents: sub_xid, xid, of any depth.
+
+    Each round doubles how far up a sub-transaction looks, until none of its parents has one.
+    """
+    up = parents.groupBy("sub_xid").agg(F.max("xid").alias("__top"))
+    while True:
+        above = up.select(F.col("sub_xid").alias("__top"), F.col("__top").alias("__above"))
+        further = up.join(above, "__top", "left")
+        if not further.where("__above IS NOT NULL").take(1):
+            break
+        up = further.select("sub_xid", F.coalesce("__above", "__top").alias("__top"))
     out = changes.join(up, changes["xid"] == up["sub_xid"], "left")
     return out.withColumn("xid", F.coalesce("__top", "xid")).drop("sub_xid", "__top")
 
@@ -46,25 +54,50 @@ def sizes(changes: DataFrame, size: Column) -> DataFrame:
     return changes.groupBy("xid").agg(F.sum(size).cast("long").alias("size"))
 
 
+#: Big transactions that are sent to all tasks.
+FEW_BIG = 100_000
+
+
 def route_big(changes: DataFrame, size: Column, threshold: int) -> DataFrame:
     """Adds ``big``: whether the transaction has ``threshold`` bytes or more and goes to a stream of its own."""
     big = sizes(changes, size).where(F.col("size") >= threshold).select("xid").withColumn("__big", F.lit(True))
-    return changes.join(big, "xid", "left").withColumn("big", F.coalesce("__big", F.lit(False))).drop("__big")
+    # few are big: up to FEW_BIG of them are sent to all tasks, and the log isn't shuffled a second time
+    few = big.limit(FEW_BIG + 1).count() <= FEW_BIG
+    return changes.join(F.broadcast(big) if few else big, "xid", "left").withColumn("big", F.coalesce("__big", F.lit(False))).drop("__big")
+
+
+#: Widths, as powers of two, of the ranges of positions that running sums are made over.
+RANGES = (16, 26, 36)
 
 
 def fixed_bundles(transactions: DataFrame, budget: int, order: str = "last_lsn", stream: str | None = None) -> DataFrame:
     """Adds ``bundle``: statements before the transaction, divided by the budget.
 
-    The running sum is made in two steps, so that no task sorts all transactions: sums of ranges of the
-    log, then a running sum within each range.
     """
-    part = [stream] if stream else []
-    span = transactions.withColumn("__range", F.floor(F.col(order) / F.lit(1 << 16)))
-    totals = span.groupBy(*part, "__range").agg(F.sum("statements").alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(*(part or [F.lit(0)])).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inner = F.coalesce(F.sum("statements").over(W.partitionBy(*part, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = span.join(before, [*part, "__range"]).withColumn("__at", F.col("__before") + inner)
-    return out.withColumn("bundle", F.floor(F.col("__at") / budget).cast("long")).drop("__range", "__before", "__at")
+    out = running(transactions, [stream] if stream else [], order, F.col("statements"), "__at")
+    return out.withColumn("bundle", F.floor(F.col("__at") / budget).cast("long")).drop("__at")
+
+
+def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same ``by`` that come before in ``order`` (a whole number).
+
+    No task sorts all rows of a key: they are dealt into ranges of 2**16 positions, these into ranges of 2**26, and so
+    on, and what comes before a range is the sum of the ranges before it within the next larger one.
+    """
+    rows = rows.withColumn("__v", value).withColumns({f"__r{s}": F.shiftright(F.col(order).cast("long"), s) for s in RANGES})
+    inner = W.partitionBy(*by, f"__r{RANGES[0]}").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.coalesce(F.sum("__v").over(inner), F.lit(0)))
+    sums = rows.groupBy(*by, *[f"__r{s}" for s in RANGES]).agg(F.sum("__v").alias("__v"))
+    for small, large in zip(RANGES, [*RANGES[1:], None], strict=True):
+        keys = [*by, f"__r{small}"]
+        above = [f"__r{large}"] if large else []
+        w = W.partitionBy(*by, *above).orderBy(f"__r{small}").rowsBetween(W.unboundedPreceding, -1) if by or above else W.orderBy(f"__r{small}").rowsBetween(W.unboundedPreceding, -1)
+        before = sums.withColumn("__before", F.coalesce(F.sum("__v").over(w), F.lit(0))).select(*keys, "__before")
+        before = before.withColumnsRenamed({k: f"__k{k}" for k in keys})
+        out = out.join(before, [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in keys]).withColumn(name, F.col(name) + F.col("__before")).drop("__before", *[f"__k{k}" for k in keys])
+        if large:
+            sums = sums.groupBy(*by, *[f"__r{s}" for s in RANGES if s >= large]).agg(F.sum("__v").alias("__v"))
+    return out.drop("__v", *[f"__r{s}" for s in RANGES])
 
 
 def greedy_bundles(transactions: DataFrame, budget: int, stream: str, order: str = "last_lsn") -> DataFrame:
@@ -119,6 +152,12 @@ def reset(open_changes: DataFrame, resets: DataFrame) -> DataFrame:
     return open_changes.join(F.broadcast(last)).where(F.col("__reset").isNull() | (F.col("lsn") > F.col("__reset"))).drop("__reset")
 
 
+def abandon(changes: DataFrame, abandoned: DataFrame) -> DataFrame:
+    """Without changes of abandoned transactions; abandoned: xid, lsn (of the mark). A later use of the xid stays."""
+    last = abandoned.groupBy("xid").agg(F.max("lsn").alias("__mark"))
+    return changes.join(last, "xid", "left").where(F.col("__mark").isNull() | (F.col("lsn") > F.col("__mark"))).drop("__mark")
+
+
 def commit_order(changes: DataFrame) -> DataFrame:
     """Changes in the order of their commits, then of the log: a range-partitioned sort."""
     return changes.orderBy("commit_lsn", "lsn")

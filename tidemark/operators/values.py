@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dictionary import as_of
+
 
 def explode_multi_insert(records: DataFrame, rows: str = "rows") -> DataFrame:
     """One insert for each row image of a record; ``seq`` is its place in the record."""
@@ -13,11 +15,16 @@ def explode_multi_insert(records: DataFrame, rows: str = "rows") -> DataFrame:
 
 
 def assemble_chunks(chunks: DataFrame, by: list[str], number: str = "chunk_no", data: str = "chunk", total: str | None = None) -> DataFrame:
-    """Values put together from chunks in the order of their numbers; ``complete`` says that none is missing."""
+    """Values put together from chunks in the order of their numbers; ``complete`` says that none is missing.
+
+    Numbers begin at 0. ``total`` names the column with the value's size (the same in all its chunks), without which a
+    lost end can't be noticed.
+    """
     parts = F.array_sort(F.collect_set(F.struct(number, data)))
     value = F.array_join(F.transform(parts, lambda p: p[data]), "")
-    out = chunks.groupBy(by).agg(value.alias("value"), F.count_distinct(number).alias("chunks"), (F.max(number) - F.min(number) + 1).alias("__span"))
-    return out.withColumn("complete", F.col("chunks") == F.col("__span")).drop("__span")
+    out = chunks.groupBy(by).agg(value.alias("value"), F.count_distinct(number).alias("chunks"), F.min(number).alias("__first"), F.max(number).alias("__last"), (F.max(total) if total else F.lit(None).cast("long")).alias("__total"))
+    whole = (F.col("__first") == 0) & (F.col("chunks") == F.col("__last") + 1) & (F.col("__total").isNull() | (F.length("value") == F.col("__total")))
+    return out.withColumn("complete", whole).drop("__first", "__last", "__total")
 
 
 def prune(columns: DataFrame, drop: tuple[str, ...] = ("dropped", "custom", "missing")) -> DataFrame:
@@ -26,9 +33,13 @@ def prune(columns: DataFrame, drop: tuple[str, ...] = ("dropped", "custom", "mis
 
 
 def tuple_from_pages(images: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes with the tuple that a full page image holds at their place (relfilenode, block, item), where they have none."""
-    i = images.groupBy("relfilenode", "block", "item").agg(F.max_by("tuple", "lsn").alias("__t"))
-    return changes.join(i, ["relfilenode", "block", "item"], "left").withColumn("tuple", F.coalesce("tuple", "__t")).drop("__t")
+    """Changes with the tuple that the latest full page image up to their LSN holds at their place, where they have none.
+
+    The place is (relfilenode, block, item); an image taken after the change is of no use to it.
+    """
+    i = images.withColumnRenamed("tuple", "__t")
+    found = as_of(changes, i, ["relfilenode", "block", "item"], "lsn", "lsn", ["__t"])
+    return found.withColumn("tuple", F.coalesce("tuple", "__t")).drop("__t")
 
 
 def classify(records: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def quote(name: str) -> str:
     return name if re.fullmatch(r"[a-z_][a-z0-9_]*", name) else '"' + name.replace('"', '""') + '"'
 
 
+def quoted(name: Any) -> Any:
+    """The same of a column of identifiers."""
+    return F.when(name.rlike("^[a-z_][a-z0-9_]*$"), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+
+
 def qualified(schema: str, name: str) -> str:
     return f"{quote(schema)}.{quote(name)}"
 
@@ -187,19 +192,19 @@ def column_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("relid", "attnum", F.struct(*cols).alias("n"))
     t = old.select("relid", "schema", "table").distinct().join(new.select("relid").distinct(), "relid", "left_semi")
     j = o.join(n, ["relid", "attnum"], "full_outer").join(t, "relid")
-    head = F.concat(F.lit("ALTER TABLE "), F.col("schema"), F.lit("."), F.col("table"), F.lit(" "))
+    head = F.concat(F.lit("ALTER TABLE "), quoted(F.col("schema")), F.lit("."), quoted(F.col("table")), F.lit(" "))
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
 
     def of(change: str, when, *text) -> object:
         return F.when(when, F.struct(F.lit(change).alias("change"), F.concat(head, *[F.lit(x) if isinstance(x, str) else x for x in text]).alias("sql")))
 
-    name = F.col("n.name")
+    name, old_name = quoted(F.col("n.name")), quoted(F.col("o.name"))
     rendered = F.concat(name, F.lit(" "), F.col("n.type"), F.coalesce(F.concat(F.lit(" DEFAULT "), F.col("n.default_value")), F.lit("")), F.when(F.col("n.not_null"), " NOT NULL").otherwise(""))
     od, nd = F.col("o.default_value"), F.col("n.default_value")
     changes = [
         of("add_column", F.col("o").isNull(), "ADD COLUMN ", rendered),
-        of("drop_column", F.col("n").isNull(), "DROP COLUMN ", F.col("o.name")),
-        of("rename_column", both & (F.col("o.name") != name), "RENAME COLUMN ", F.col("o.name"), " TO ", name),
+        of("drop_column", F.col("n").isNull(), "DROP COLUMN ", old_name),
+        of("rename_column", both & (F.col("o.name") != F.col("n.name")), "RENAME COLUMN ", old_name, " TO ", name),
         of("alter_type", both & (F.col("o.type") != F.col("n.type")), "ALTER COLUMN ", name, " TYPE ", F.col("n.type")),
         of("set_not_null", both & ~F.col("o.not_null") & F.col("n.not_null"), "ALTER COLUMN ", name, " SET NOT NULL"),
         of("drop_not_null", both & F.col("o.not_null") & ~F.col("n.not_null"), "ALTER COLUMN ", name, " DROP NOT NULL"),
@@ -214,8 +219,8 @@ def table_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     cols = ["schema", "table", "persistence", "filenode"]
     j = old.select("relid", F.struct(*cols).alias("o")).join(new.select("relid", F.struct(*cols).alias("n")), "relid", "full_outer")
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
-    o_name = F.concat(F.col("o.schema"), F.lit("."), F.col("o.table"))
-    n_name = F.concat(F.col("n.schema"), F.lit("."), F.col("n.table"))
+    o_name = F.concat(quoted(F.col("o.schema")), F.lit("."), quoted(F.col("o.table")))
+    n_name = F.concat(quoted(F.col("n.schema")), F.lit("."), quoted(F.col("n.table")))
 
     def of(change: str, when, *text) -> object:
         return F.when(when, F.struct(F.lit(change).alias("change"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]).alias("sql")))
@@ -224,8 +229,8 @@ def table_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     changes = [
         of("create_table", F.col("o").isNull(), "CREATE TABLE ", n_name),
         of("drop_table", F.col("n").isNull(), "DROP TABLE ", o_name),
-        of("rename_table", both & (F.col("o.table") != F.col("n.table")), "ALTER TABLE ", o_name, " RENAME TO ", F.col("n.table")),
-        of("set_schema", both & (F.col("o.schema") != F.col("n.schema")), "ALTER TABLE ", o_name, " SET SCHEMA ", F.col("n.schema")),
+        of("rename_table", both & (F.col("o.table") != F.col("n.table")), "ALTER TABLE ", o_name, " RENAME TO ", quoted(F.col("n.table"))),
+        of("set_schema", both & (F.col("o.schema") != F.col("n.schema")), "ALTER TABLE ", o_name, " SET SCHEMA ", quoted(F.col("n.schema"))),
         of("set_logged", both & (F.col("o.persistence") == "u") & (F.col("n.persistence") == "p"), "ALTER TABLE ", o_name, " SET LOGGED"),
         of("set_unlogged", both & (F.col("o.persistence") == "p") & (F.col("n.persistence") == "u"), "ALTER TABLE ", o_name, " SET UNLOGGED"),
         of("truncate", both & same & (F.col("o.filenode") != F.col("n.filenode")), "TRUNCATE TABLE ", n_name),

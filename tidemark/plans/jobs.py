@@ -281,15 +281,17 @@ def progress_lag(captures: DataFrame, integrates: DataFrame, pairs: DataFrame) -
     """name, capture, integrate, lsnlag, traillag, timelag of each progress that has exactly one of each.
 
     captures: name, flush_lsn, trail_no, flush_micros; integrates: name, sync_lsn, sync_trail_no, sync_micros;
-    pairs: name, capture, integrate.
+    pairs: name, capture, integrate. A lag of a capture that is behind its integrate is ``N/A``.
     """
     single = pairs.groupBy("name").agg(F.count("*").alias("n"), F.min("capture").alias("capture"), F.min("integrate").alias("integrate")).where("n = 1").drop("n")
     j = single.join(captures.withColumnRenamed("name", "capture"), "capture").join(integrates.withColumnRenamed("name", "integrate"), "integrate")
 
-    def behind(a: str, b: str):
-        return F.greatest(F.col(a) - F.col(b), F.lit(0))
+    def behind(a: str, b: str, text) -> object:
+        lag = F.col(a) - F.col(b)
+        return F.when(lag < 0, F.lit("N/A")).otherwise(text(lag))
 
-    return j.select("name", "capture", "integrate", lsn_lag(behind("flush_lsn", "sync_lsn")).alias("lsnlag"), behind("trail_no", "sync_trail_no").alias("traillag"), time_lag(behind("flush_micros", "sync_micros")).alias("timelag"))
+    lags = [behind("flush_lsn", "sync_lsn", lsn_lag).alias("lsnlag"), behind("trail_no", "sync_trail_no", lambda n: n.cast("string")).alias("traillag"), behind("flush_micros", "sync_micros", time_lag).alias("timelag")]
+    return j.select("name", "capture", "integrate", *lags)
 
 
 def capture_info(metrics: DataFrame) -> DataFrame:

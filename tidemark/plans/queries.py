@@ -277,8 +277,10 @@ def committed_only(spark, d):
 @query("SELECT xid, count(*) AS n FROM log GROUP BY xid", log=True)
 def subxid_rollup(spark, d):
     log = orders_log(spark, d)
-    subs = log.withColumn("top", F.col("xid")).withColumn("xid", F.when(F.col("lsn") % 3 == 0, F.col("xid")).otherwise(1_000_000 + F.col("xid") * 10 + F.col("lsn") % 3))
-    parents = subs.where("xid <> top").select(F.col("xid").alias("sub_xid"), F.col("top").alias("xid")).distinct()
+    # of four levels: a sub-transaction's parent is the one before it, up to the top
+    subs = log.withColumn("top", F.col("xid")).withColumn("xid", F.when(F.col("lsn") % 5 == 0, F.col("xid")).otherwise(1_000_000 + F.col("xid") * 10 + F.col("lsn") % 5))
+    level = F.col("n") + 1_000_000 + F.col("top") * 10
+    parents = subs.select("top").distinct().select("top", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).select(level.alias("sub_xid"), F.when(F.col("n") == 1, F.col("top")).otherwise(level - 1).alias("xid"))
     return transactions.roll_up(subs, parents).groupBy("xid").agg(F.count("*").alias("n"))
 
 
@@ -477,7 +479,7 @@ def set_ops(spark, d):
 
 # functions and formats
 
-@query("SELECT lsn, upper(printf('%X', lsn * 4294967301 >> 32)) || '/' || upper(printf('%X', (lsn * 4294967301) & 4294967295)) AS text, lsn * 4294967301 AS back FROM log WHERE lsn < 100000", log=True)
+@query("SELECT lsn, upper(printf('%X', lsn * 4294967301 >> 32)) || '/' || upper(printf('%X', (lsn * 4294967301) & 4294967295)) AS text, lsn * 4294967301 AS back FROM log", log=True)
 def lsn_hex(spark, d):
     log = orders_log(spark, d).withColumn("p", F.col("lsn") * 4294967301)
     return log.select("lsn", fn.format_lsn(F.col("p")).alias("text"), fn.parse_lsn(fn.format_lsn(F.col("p"))).alias("back"))
@@ -500,9 +502,9 @@ def trim_rules(spark, d):
     return table(spark, d, "events").select("event_id", fn.trim_left(x).alias("l"), fn.trim_right(x).alias("r"))
 
 
-@query("SELECT c_custkey, substr(lower(c_name || '_' || repeat('XyZ', 30)), 1, 63) AS name FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN substr(lower(c_name || '_' || repeat('XyZ', 30)), 1, 63) ELSE repeat('é', 31) END AS name FROM customer")
 def fold_identifier(spark, d):
-    return table(spark, d, "customer").select("c_custkey", fn.fold_identifier(F.concat("c_name", F.lit("_" + "XyZ" * 30))).alias("name"))
+    return table(spark, d, "customer").select("c_custkey", fn.fold_identifier(F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("_" + "XyZ" * 30))).otherwise(F.lit("é" * 40))).alias("name"))
 
 
 _LAG = "CASE WHEN x >= 1073741824 THEN printf('%.2f', x / 1073741824.0) || 'GB' WHEN x >= 1048576 THEN printf('%.2f', x / 1048576.0) || 'MB' WHEN x >= 1024 THEN printf('%.2f', x / 1024.0) || 'KB' ELSE CAST(x AS VARCHAR) || 'B' END"
@@ -555,12 +557,15 @@ def multi_insert_explode(spark, d):
     return values.explode_multi_insert(records).groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.sum("after.l_linenumber").alias("numbers"))
 
 
-@query("SELECT doc_id, text AS value FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 1 OR doc_id % 5 = 2 AND length(coalesce(text, '')) > 2000 THEN NULL ELSE coalesce(text, '') END AS value FROM documents WHERE NOT (doc_id % 5 = 1 AND length(coalesce(text, '')) <= 2000)")
 def toast_reassembly(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 0")
-    n = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int"))
-    chunks = docs.select("doc_id", F.posexplode(F.transform(n, lambda i: F.substring("text", i * 2000 + 1, F.lit(2000)))).alias("chunk_no", "chunk"))
-    return values.assemble_chunks(chunks, ["doc_id"]).where("complete").select("doc_id", "value")
+    # of one in five the first chunk is lost, and of another the last; an empty value is one empty chunk
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 2000).cast("int"))
+    chunks = docs.select("doc_id", F.length("text").alias("total"), F.posexplode(F.transform(n, lambda i: F.substring("text", i * 2000 + 1, F.lit(2000)))).alias("chunk_no", "chunk"))
+    last = F.floor(F.greatest(F.col("total") - 1, F.lit(0)) / 2000)
+    kept = chunks.where(~((F.col("doc_id") % 5 == 1) & (F.col("chunk_no") == 0)) & ~((F.col("doc_id") % 5 == 2) & (last > 0) & (F.col("chunk_no") == last)))
+    return values.assemble_chunks(kept, ["doc_id"], total="total").select("doc_id", F.when(F.col("complete"), F.col("value")).alias("value"))
 
 
 @query("SELECT p_partkey AS relid, count(*) AS named FROM part, (VALUES ('normal'), ('dropped'), ('missing'), ('normal')) f(flag) WHERE flag = 'normal' GROUP BY 1")
@@ -576,11 +581,12 @@ def record_kinds(spark, d):
     return values.classify(raw).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS item, CASE WHEN o_orderkey % 2 = 0 THEN 'own' WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS tuple FROM orders")
+@query("SELECT o_orderkey AS item, CASE WHEN o_orderkey % 2 = 0 THEN 'own' WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN o_orderstatus END AS tuple FROM orders")
 def page_image_tuples(spark, d):
     o = table(spark, d, "orders").select(F.lit(1).alias("relfilenode"), F.floor(F.col("o_orderkey") / 100).alias("block"), F.col("o_orderkey").alias("item"), "o_orderstatus")
-    images = o.where("item % 3 = 0").select("relfilenode", "block", "item", F.lit(5).alias("lsn"), F.col("o_orderstatus").alias("tuple"))
-    changes = o.select("relfilenode", "block", "item", F.when(F.col("item") % 2 == 0, "own").alias("tuple"))
+    # one before the change (or after it, for one item in five), and a later one that must not be used
+    images = o.where("item % 3 = 0").select("relfilenode", "block", "item", F.explode(F.array(F.struct(F.when(F.col("item") % 5 == 0, 50).otherwise(5).alias("lsn"), F.col("o_orderstatus").alias("tuple")), F.struct(F.lit(99).alias("lsn"), F.lit("later").alias("tuple")))).alias("x")).select("relfilenode", "block", "item", "x.*")
+    changes = o.select("relfilenode", "block", "item", F.lit(10).alias("lsn"), F.when(F.col("item") % 2 == 0, "own").alias("tuple"))
     return values.tuple_from_pages(images, changes).select("item", "tuple")
 
 
@@ -620,8 +626,12 @@ def broken_chain(spark, d):
     from ..sources.trail import broken_links
 
     log = orders_log(spark, d).select("lsn", F.floor(F.col("lsn") / 1000).alias("file_id"))
-    real = F.lag("lsn").over(W.partitionBy(F.lit(0)).orderBy("lsn"))
-    return broken_links(log.withColumn("prev_lsn", F.when(F.col("lsn") % 7 == 0, -5).otherwise(F.coalesce(real, F.lit(0))))).select("lsn")
+    inner = log.withColumn("__lag", F.lag("lsn").over(W.partitionBy("file_id").orderBy("lsn")))
+    # a file's first record points at the last one of the file before it
+    ends = log.groupBy("file_id").agg(F.max("lsn").alias("__end")).withColumn("file_id", F.col("file_id") + 1)
+    real = F.coalesce("__lag", "__end", F.lit(0))
+    linked = inner.join(ends, "file_id", "left").withColumn("prev_lsn", F.when(F.col("lsn") % 7 == 0, -5).otherwise(real)).select("lsn", "file_id", "prev_lsn")
+    return broken_links(linked).select("lsn")
 
 
 # schema changes and statements
@@ -696,11 +706,11 @@ def metric_latest(spark, d):
 
 @query(f"""
 WITH p AS (SELECT s_suppkey AS i, s_suppkey * 5000000 AS x, s_suppkey * 90000000 AS y FROM supplier WHERE s_suppkey % 4 <> 0)
-SELECT 'p' || i AS name, 'c' || i AS capture, 'i' || i AS integrate, (SELECT {_LAG}) AS lsnlag, i % 3 AS traillag, {_TIME.replace('x', 'y')} AS timelag FROM p
+SELECT 'p' || i AS name, 'c' || i AS capture, 'i' || i AS integrate, CASE WHEN i % 5 = 0 THEN 'N/A' ELSE {_LAG} END AS lsnlag, CASE WHEN i % 5 = 1 THEN 'N/A' ELSE CAST(i % 3 AS VARCHAR) END AS traillag, {_TIME.replace('x', 'y')} AS timelag FROM p
 """)
 def lag_report(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"))
-    captures = s.select(F.concat(F.lit("c"), F.col("i")).alias("name"), (F.col("i") * 5000000 + 100).alias("flush_lsn"), (F.col("i") % 3 + 10).alias("trail_no"), (F.col("i") * 90000000 + 5).alias("flush_micros"))
+    captures = s.select(F.concat(F.lit("c"), F.col("i")).alias("name"), F.when(F.col("i") % 5 == 0, 50).otherwise(F.col("i") * 5000000 + 100).alias("flush_lsn"), F.when(F.col("i") % 5 == 1, 9).otherwise(F.col("i") % 3 + 10).alias("trail_no"), (F.col("i") * 90000000 + 5).alias("flush_micros"))
     integrates = s.select(F.concat(F.lit("i"), F.col("i")).alias("name"), F.lit(100).cast("long").alias("sync_lsn"), F.lit(10).cast("long").alias("sync_trail_no"), F.lit(5).cast("long").alias("sync_micros"))
     pairs = s.select(F.concat(F.lit("p"), F.col("i")).alias("name"), F.concat(F.lit("c"), F.col("i")).alias("capture"), F.concat(F.lit("i"), F.col("i")).alias("integrate"))
     twice = pairs.unionByName(pairs.join(s.where("i % 4 = 0").select(F.concat(F.lit("p"), F.col("i")).alias("name")), "name", "left_semi"))
