@@ -741,6 +741,50 @@ def stream_apply(spark, d):
     return target.read()
 
 
+@query("""
+SELECT k, CASE WHEN k % 15 = 0 THEN 'X' ELSE status END AS status, CASE WHEN k % 5 = 0 THEN price + 1 ELSE price END AS price, priority FROM o WHERE k % 7 <> 0 AND k >= 100
+""", log=True)
+def stream_apply_of_tables(spark, d):
+    """Two tables in one trail: the truncate of the other one is none of this one's, and its own counts from its place on."""
+    from ..sources.trail import stream_trail
+    from ..streaming import start_apply
+
+    log, folder = orders_log(spark, d), _folder(spark)
+    other = log.where("xid % 3 = 0").withColumns({"table": F.lit("others"), "lsn": F.col("lsn") + 1_000_000_000})
+    marks = log.limit(1).select(F.explode(F.array(F.struct(F.lit("orders").alias("table"), F.lit(401).cast("long").alias("lsn"), F.lit(400).cast("long").alias("commit_lsn")), F.struct(F.lit("others").alias("table"), F.lit(2_000_000_000).cast("long").alias("lsn"), F.lit(2_000_000_000).cast("long").alias("commit_lsn")))).alias("m"), "xid", "relid", "schema", "before", "after")
+    marks = marks.select("m.*", "xid", "relid", "schema", F.lit("T").alias("op"), F.lit(None).cast(log.schema["before"].dataType).alias("before"), F.lit(None).cast(log.schema["after"].dataType).alias("after"))
+    base = orders_base(spark, d)
+    # after the truncate of orders, the rows from key 100 on come again as inserts within the transaction of the mark
+    again = base.where("k >= 100").select(F.lit(402).cast("long").alias("lsn"), F.lit(400).cast("long").alias("commit_lsn"), F.lit(4).cast("long").alias("xid"), F.lit(ORDERS_RELID).cast("long").alias("relid"), F.lit("public").alias("schema"), F.lit("orders").alias("table"), F.lit("I").alias("op"), F.lit(None).cast(log.schema["before"].dataType).alias("before"), F.struct("k", "status", "price", "priority").alias("after"))
+    write_trail(log.unionByName(other).unionByName(marks).unionByName(again), f"{folder}/log", 3)
+    target = TargetTable(spark, f"{folder}/orders", ["k"], source="public.orders")
+    target.write(base)
+    start_apply(stream_trail(spark, f"{folder}/log", log.schema["after"].dataType, 100), target, f"{folder}/checkpoint").awaitTermination()
+    return target.read()
+
+
+@query(FINAL, log=True)
+def big_txn_apply(spark, d):
+    from ..sources.trail import Staging
+    from ..streaming import apply_with_big
+
+    folder = _folder(spark)
+    routed = transactions.route_big(orders_log(spark, d), _size(), 150)
+    big = routed.where("big").drop("big")
+    ends = big.groupBy("xid").agg(F.max("commit_lsn").alias("commit_lsn"))
+    # the few largest transactions take the path of their own, the others stay in the stream
+    ends = ends.orderBy("xid").limit(3)
+    big = big.join(F.broadcast(ends.select("xid")), "xid", "left_semi")
+    staged = Staging(spark, f"{folder}/big")
+    staged.stage(big.drop("commit_lsn"), 0)
+    rest = routed.drop("big").join(F.broadcast(ends.select("xid")), "xid", "left_anti")
+    marks = rest.limit(0).unionByName(ends.select("commit_lsn", "xid", F.col("commit_lsn").alias("lsn"), F.lit("XE").alias("op"), F.lit("public").alias("schema"), F.lit("orders").alias("table")), allowMissingColumns=True)
+    target = TargetTable(spark, f"{folder}/orders", ["k"], source="public.orders")
+    target.write(orders_base(spark, d))
+    apply_with_big(target, rest.unionByName(marks), staged, 0)
+    return target.read()
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def events_dedup(spark, d):
     e = table(spark, d, "events")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import parse_shard_name
 from ..schema import change_schema
 
 
@@ -32,9 +35,13 @@ class Folder:
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(to, False)
-        if not self.fs.rename(tmp, to):
-            raise OSError(f"can't rename to {name}")
+        # one step that also replaces an older file: there is no moment without either
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(tmp), self.fs.makeQualified(to), how)
 
     def read_text(self, name: str) -> str | None:
         if not self.exists(name):
@@ -96,30 +103,122 @@ def stream_trail(spark: SparkSession, folder: str, image: T.DataType | None = No
 
 
 class TargetTable:
-    """A table in versions: each apply writes a new one, then moves the pointer, which also holds the progress.
+    """A table in buckets of its key's hash, and in versions: an apply rewrites the buckets that it meets and no others.
 
-    Pointer and progress are one small file that is renamed into place, so data and progress never
-    disagree; a batch that was applied already is recognised by its id and left alone.
+    A version is a small file ``CURRENT-<number>`` that is renamed into place when its data are there: it names the
+    folder of each bucket and holds the progress, so data and progress never disagree. The greatest number counts;
+    a crash before the rename leaves the version before. A batch that was applied already is recognised by its id.
+    source: ``schema.table`` of the changes that are for this table; without it a log must be of one table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], keep: int = 2):
-        self.spark, self.keys, self.keep = spark, keys, keep
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], keep: int = 2, buckets: int = 16, source: str | None = None):
+        self.spark, self.keys, self.keep, self.buckets, self.source = spark, keys, keep, buckets, source
         self.folder = Folder(spark, path)
 
-    def state(self) -> dict[str, int]:
-        text = self.folder.read_text("CURRENT")
-        return dict(zip(("version", "batch", "lsn", "xid"), map(int, text.split()), strict=True)) if text else {"version": -1, "batch": -1, "lsn": -1, "xid": -1}
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removeprefix("CURRENT-")) for n in self.folder.names() if n.startswith("CURRENT-"))
+
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.folder.read_text(f"CURRENT-{version:012d}"))
+
+    def state(self) -> dict:
+        versions = self._versions()
+        return self._manifest(versions[-1]) if versions else {"version": -1, "batch": -1, "lsn": -1, "xid": -1, "places": {}, "schema": None}
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder.path}/v{self.state()['version']}")
+    def of_bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def write(self, rows: DataFrame, batch: int = -1, lsn: int = -1, xid: int = -1) -> None:
-        version = self.state()["version"] + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder.path}/v{version}")
-        self.folder.write_text("CURRENT", f"{version} {batch} {lsn} {xid}")
-        if version >= self.keep:
-            self.folder.delete(f"v{version - self.keep}")
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of the current version, or of some of its buckets."""
+        state = self.state()
+        if state["schema"] is None:
+            raise ValueError("the table was never written")
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
+        paths = [f"{self.folder.path}/{place}/__bucket={b}" for b, place in state["places"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, rows: DataFrame, batch: int = -1, lsn: int = -1, xid: int = -1, buckets: list[int] | None = None) -> None:
+        """A version in which the rows of ``buckets`` (all if not given) are ``rows``."""
+        state = self.state()
+        batch = max(batch, state["batch"])
+        version = state["version"] + 1
+        place = f"v{version}"
+        rows.withColumn("__bucket", self.of_bucket()).repartition(self.buckets if buckets is None else max(1, len(buckets)), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder.path}/{place}")
+        new = {n.removeprefix("__bucket="): place for n in Folder(self.spark, f"{self.folder.path}/{place}").names() if n.startswith("__bucket=")}
+        old = {} if buckets is None else {b: p for b, p in state["places"].items() if int(b) not in buckets}
+        manifest = {"version": version, "batch": batch, "lsn": lsn, "xid": xid, "places": {**old, **new}, "schema": rows.schema.json()}
+        self.folder.write_text(f"CURRENT-{version:012d}", json.dumps(manifest))
+        self._clean()
+
+    def _clean(self) -> None:
+        """Drops versions beyond the last ``keep``, and buckets that none of these names."""
+        versions = self._versions()
+        for v in versions[: -self.keep]:
+            self.folder.delete(f"CURRENT-{v:012d}")
+        used = {(p, b) for v in versions[-self.keep :] for b, p in self._manifest(v)["places"].items()}
+        for place in [n for n in self.folder.names() if n.startswith("v")]:
+            if int(place[1:]) > versions[-1] or any(p == place for p, _ in used):
+                for n in Folder(self.spark, f"{self.folder.path}/{place}").names():
+                    if n.startswith("__bucket=") and int(place[1:]) <= versions[-1] and (place, n.removeprefix("__bucket=")) not in used:
+                        self.folder.delete(f"{place}/{n}")
+            else:
+                self.folder.delete(place)
 
     def truncate(self) -> None:
         state = self.state()
         self.write(self.read().limit(0), state["batch"], state["lsn"], state["xid"])
+
+
+class Staging:
+    """Rows that wait under a number of their own: a big transaction's by its xid, an online refresh's increment by its uuid.
+
+    They are read or dropped as a whole. Each batch writes a folder that it overwrites when it is replayed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: str = "xid"):
+        self.spark, self.by = spark, by
+        self.folder = Folder(spark, path)
+
+    def stage(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").partitionBy(self.by).parquet(f"{self.folder.path}/batch-{batch}")
+
+    def _parts(self, number: object) -> list[str]:
+        name = f"{self.by}={number}"
+        return [f"{b}/{name}" for b in self.folder.names() if b.startswith("batch-") and self.folder.exists(f"{b}/{name}")]
+
+    def read(self, number: object) -> DataFrame | None:
+        """The staged rows, with their number again; None if there are none."""
+        parts = self._parts(number)
+        return self.spark.read.parquet(*[f"{self.folder.path}/{p}" for p in parts]).withColumn(self.by, F.lit(number)) if parts else None
+
+    def drop(self, number: object) -> None:
+        for p in self._parts(number):
+            self.folder.delete(p)
+
+    def waiting(self) -> list[str]:
+        names = {n for b in self.folder.names() if b.startswith("batch-") for n in Folder(self.spark, f"{self.folder.path}/{b}").names()}
+        return sorted(n.removeprefix(f"{self.by}=") for n in names if n.startswith(f"{self.by}="))
+
+
+def shard_queue(spark: SparkSession, folder: str, done: DataFrame | None = None) -> DataFrame:
+    """``name, schema, table, total, number`` of the shard files in a folder that aren't done yet; done: schema, table, number."""
+    names = [(n,) for n in Folder(spark, folder).names() if not n.startswith(("_", "."))]
+    found = spark.createDataFrame(names, "name string").withColumn("p", parse_shard_name(F.col("name"))).where("p IS NOT NULL").select("name", "p.*")
+    return found if done is None else found.join(done.select("schema", "table", "number"), ["schema", "table", "number"], "left_anti").select(found.columns)
+
+
+def read_table_list(spark: SparkSession, path: str) -> DataFrame:
+    """``schema, table`` of a text file's lines ``schema.table``; blank lines and comments (#) don't count."""
+    line = F.trim(F.regexp_replace("value", "#.*", ""))
+    rows = spark.read.text(path).select(line.alias("line")).where("line <> ''").select("line", F.split("line", r"\.").alias("p"))
+    return rows.select(F.when(F.size("p") == 2, F.trim(F.col("p")[0])).otherwise(F.raise_error(F.concat(F.lit("not schema.table: "), "line"))).alias("schema"), F.trim(F.get("p", F.lit(1))).alias("table")).distinct()
+
+
+def write_dictionary(catalogs: dict[str, DataFrame], folder: str) -> None:
+    """The dictionary's catalogs (class, attribute, type, ...), one Parquet folder each."""
+    for name, rows in catalogs.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_dictionary(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in Folder(spark, folder).names() if not n.startswith(("_", "."))}
