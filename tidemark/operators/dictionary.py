@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import parse_lsn
+
 #: Rows that an as-of lookup sorts key by key; more are dealt into ranges.
 RANGE_ROWS = 1_000_000
 
@@ -78,6 +80,20 @@ def _struct(df: DataFrame, values: list[str]) -> str:
     return "struct<" + ",".join(f"`{v}`:{df.schema[v].dataType.simpleString()}" for v in values) + ">"
 
 
+def parse_history(spark: SparkSession, path: str) -> DataFrame:
+    """``timeline, begin_lsn, end_lsn`` from a timeline history file's lines ``timeline<TAB>HI/LO<TAB>reason``; the last one's end is open.
+
+    Such a file has a line for each switch of the server, so it is read and numbered on one machine.
+    """
+    line = F.trim(F.regexp_replace("value", "#.*", ""))
+    rows = spark.read.text(path).select(F.split(line, r"\s+").alias("p")).where(F.size("p") >= 2)
+    ends = rows.select(F.col("p")[0].cast("int").alias("timeline"), parse_lsn(F.col("p")[1]).alias("end_lsn"))
+    w = W.orderBy("end_lsn")
+    known = ends.withColumn("begin_lsn", F.lag("end_lsn", 1, 0).over(w)).select("timeline", "begin_lsn", "end_lsn")
+    last = ends.agg((F.max("timeline") + 1).alias("timeline"), F.coalesce(F.max("end_lsn"), F.lit(0)).alias("begin_lsn"), F.lit(None).cast("long").alias("end_lsn"))
+    return known.unionByName(last.where("timeline IS NOT NULL"))
+
+
 def in_range(left: DataFrame, ranges: DataFrame, at: str, begin: str = "begin_lsn", end: str = "end_lsn", limit_rows: int = 10_000) -> DataFrame:
     """``left`` with the range that holds ``at`` (begin inclusive, end exclusive or null for open).
 

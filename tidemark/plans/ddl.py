@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,11 +258,36 @@ def evolve(rows: DataFrame, statement: Statement) -> DataFrame:
     return rows
 
 
+#: Statements that the first row of a class makes, by its kind, and the details that it has.
+_CREATES = {
+    "i": ("create_index", ("table", "columns", "unique", "method")),
+    "S": ("create_sequence", ("type", "increment", "min", "max", "start", "cache", "cycle")),
+    "v": ("create_view", ("query",)),
+}
+
+
+def statements_of(catalog_rows: DataFrame) -> DataFrame:
+    """``xid, no, kind, sql`` of the statements that each transaction's catalog rows (xid, lsn, catalog, op, row as JSON) make.
+
+    A transaction's catalog rows are few and are folded in order in one task; transactions are dealt over all tasks.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fold = Assembler()
+        for r in rows.sort_values("lsn").itertuples(index=False):
+            fold.feed(r.catalog, r.op, json.loads(r.row))
+        made = fold.finish()
+        return pd.DataFrame({"xid": [key[0]] * len(made), "no": range(len(made)), "kind": [s.kind for s in made], "sql": [s.sql() for s in made]})
+
+    return catalog_rows.groupBy("xid").applyInPandas(run, "xid long, no long, kind string, sql string")
+
+
 class Assembler:
     """Catalog row changes of one transaction, folded into statements: the first row opens one, the next complete it."""
 
     def __init__(self) -> None:
         self.open: dict[int, Statement] = {}
+        self.shells: dict[tuple[str, str], Statement] = {}
         self.out: list[Statement] = []
 
     def feed(self, catalog: str, op: str, row: dict[str, Any]) -> None:
@@ -268,6 +295,24 @@ class Assembler:
         if catalog == "class" and op == "I" and row.get("relkind", "r") in ("r", "p"):
             self.open[relid] = Statement("create_table", row["schema"], row["name"], {"columns": [], **{k: v for k, v in row.items() if k in ("temporary", "unlogged", "partition_by", "partition_of", "bound", "inherits")}})
             self.out.append(self.open[relid])
+        elif catalog == "class" and op == "I" and row["relkind"] in _CREATES:
+            kind, keys = _CREATES[row["relkind"]]
+            self.out.append(Statement(kind, row["schema"], row["name"], {k: row[k] for k in keys if k in row}))
+        elif catalog == "class" and op == "U" and row.get("relkind") == "i" and row.get("filenode") != row.get("old_filenode"):
+            self.out.append(Statement("reindex", row["schema"], row["name"]))
+        elif catalog == "type" and op in ("I", "D"):
+            key, details = (row["schema"], row["name"]), {k: v for k, v in row.items() if k not in ("schema", "name")}
+            if op == "I" and key in self.shells:  # the type that was only named is given its form
+                self.shells.pop(key).details = details
+            else:
+                self.out.append(Statement("create_type" if op == "I" else "drop_type", *key, details))
+                if op == "I" and row["form"] == "shell":
+                    self.shells[key] = self.out[-1]
+        elif catalog == "enum" and op == "I":
+            made = [s for s in self.out if s.kind == "create_type" and (s.schema, s.name) == (row["schema"], row["name"])]
+            made[-1].details.setdefault("labels", []).append(row["label"])
+        elif catalog == "database" and op in ("I", "D"):
+            self.out.append(Statement("create_database" if op == "I" else "drop_database", name=row["name"]))
         elif catalog == "class" and op == "D":
             self.out.append(Statement({"i": "drop_index", "S": "drop_sequence", "v": "drop_view"}.get(row.get("relkind", "r"), "drop_table"), row["schema"], row["name"]))
         elif catalog == "attribute" and op == "I":

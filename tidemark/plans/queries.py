@@ -696,6 +696,179 @@ def literal_deletes(spark, d):
     return statements.literal_deletes(table(spark, d, "nation"), "public", "nation", ["n_nationkey"])
 
 
+@query("SELECT 'UPDATE public.nation SET n_name = ''' || n_name || ''' WHERE n_nationkey = ''' || n_nationkey || '''' AS sql FROM nation")
+def literal_updates(spark, d):
+    return statements.literal_updates(table(spark, d, "nation").select("n_nationkey", "n_name"), "public", "nation", ["n_nationkey"])
+
+
+def _json(**parts) -> F.Column:
+    return F.to_json(F.struct(*[(v if isinstance(v, F.Column) else F.lit(v)).alias(k) for k, v in parts.items()]))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 12 AS m FROM part)
+SELECT k AS xid, kind, sql FROM (
+  SELECT k, 'create_table' AS kind, 'CREATE TABLE public.t' || k || ' (a int4 NOT NULL, "B b" text DEFAULT ''x'')' AS sql FROM p WHERE m = 0
+  UNION ALL SELECT k, 'create_schema', 'CREATE SCHEMA s' || k FROM p WHERE m = 1
+  UNION ALL SELECT k, 'create_index', 'CREATE UNIQUE INDEX i' || k || ' ON public.t USING btree (a, (lower(b)))' FROM p WHERE m = 2
+  UNION ALL SELECT k, 'create_sequence', 'CREATE SEQUENCE public.q' || k || ' INCREMENT BY 2 START WITH ' || k FROM p WHERE m = 3
+  UNION ALL SELECT k, 'create_type', 'CREATE TYPE public.e' || k || ' AS ENUM (''one'', ''t''''wo'')' FROM p WHERE m = 4
+  UNION ALL SELECT k, 'create_type', 'CREATE DOMAIN public.d' || k || ' AS int4 CHECK (VALUE > 0)' FROM p WHERE m = 5
+  UNION ALL SELECT k, 'create_view', 'CREATE VIEW public.v' || k || ' AS SELECT 1' FROM p WHERE m = 6
+  UNION ALL SELECT k, 'create_database', 'CREATE DATABASE db' || k FROM p WHERE m = 7
+  UNION ALL SELECT k, 'drop_database', 'DROP DATABASE db' || k FROM p WHERE m = 7
+  UNION ALL SELECT k, 'drop_schema', 'DROP SCHEMA s' || k FROM p WHERE m = 8
+  UNION ALL SELECT k, 'drop_table', 'DROP TABLE public.t' || k FROM p WHERE m = 8
+  UNION ALL SELECT k, 'drop_index', 'DROP INDEX public.i' || k FROM p WHERE m = 9
+  UNION ALL SELECT k, 'drop_sequence', 'DROP SEQUENCE public.q' || k FROM p WHERE m = 9
+  UNION ALL SELECT k, 'drop_type', 'DROP TYPE public.e' || k FROM p WHERE m = 9
+  UNION ALL SELECT k, 'drop_view', 'DROP VIEW public.v' || k FROM p WHERE m = 9
+  UNION ALL SELECT k, 'add_constraint', 'ALTER TABLE public.t ADD CONSTRAINT c' || k || ' PRIMARY KEY (a, "B b")' FROM p WHERE m = 10
+  UNION ALL SELECT k, 'drop_constraint', 'ALTER TABLE public.t DROP CONSTRAINT c' || k FROM p WHERE m = 10
+  UNION ALL SELECT k, 'reindex', 'REINDEX INDEX public.i' || k FROM p WHERE m = 11)
+""")
+def ddl_statements(spark, d):
+    k = F.col("p_partkey")
+
+    def name(start: str) -> F.Column:
+        return F.concat(F.lit(start), k.cast("string"))
+
+    def words(*names: str) -> F.Column:
+        return F.array(*map(F.lit, names))
+
+    rows = {
+        0: [("class", "I", _json(relid=k, relkind="r", schema="public", name=name("t"))), ("attribute", "I", _json(relid=k, schema="public", table=name("t"), name="a", type="int4", not_null=True)), ("attribute", "I", _json(relid=k, schema="public", table=name("t"), name="B b", type="text", default="'x'"))],
+        1: [("namespace", "I", _json(name=name("s")))],
+        2: [("class", "I", _json(relkind="i", schema="public", name=name("i"), table="t", unique=True, columns=words("a", "(lower(b))")))],
+        3: [("class", "I", _json(relkind="S", schema="public", name=name("q"), increment=2, start=k))],
+        4: [("type", "I", _json(schema="public", name=name("e"), form="enum")), ("enum", "I", _json(schema="public", name=name("e"), label="one")), ("enum", "I", _json(schema="public", name=name("e"), label="t'wo"))],
+        5: [("type", "I", _json(schema="public", name=name("d"), form="shell")), ("type", "I", _json(schema="public", name=name("d"), form="domain", base="int4", check="VALUE > 0"))],
+        6: [("class", "I", _json(relkind="v", schema="public", name=name("v"), query="SELECT 1"))],
+        7: [("database", "I", _json(name=name("db"))), ("database", "D", _json(name=name("db")))],
+        8: [("namespace", "D", _json(name=name("s"))), ("class", "D", _json(relkind="r", schema="public", name=name("t")))],
+        9: [*[("class", "D", _json(relkind=x, schema="public", name=name(n))) for x, n in (("i", "i"), ("S", "q"), ("v", "v"))], ("type", "D", _json(schema="public", name=name("e")))],
+        10: [("constraint", "I", _json(schema="public", table="t", constraint=name("c"), form="primary", columns=words("a", "B b"))), ("constraint", "D", _json(schema="public", table="t", constraint=name("c")))],
+        11: [("class", "U", _json(relkind="i", schema="public", name=name("i"), filenode=2, old_filenode=1))],
+    }
+    made = F.coalesce(*[F.when(k % 12 == m, F.array(*[F.struct(F.lit(i).alias("lsn"), F.lit(c).alias("catalog"), F.lit(o).alias("op"), r.alias("row")) for i, (c, o, r) in enumerate(rs)])) for m, rs in rows.items()])
+    return ddl.statements_of(table(spark, d, "part").select(k.alias("xid"), F.inline(made))).select("xid", "kind", "sql")
+
+
+# the server's own log, and binary records
+
+_WAL_TYPES = [20, 20, 25, 701]
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as heap inserts in log segments of 64 KiB; each partition's segments follow each other."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..sources import wal
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), "o_totalprice")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import struct
+
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        writer, previous = wal.SegmentWriter((part + 1) << 32, 1 << 16, part + 1), 0
+        for batch in batches:
+            for key, customer, status, price in zip(batch["o_orderkey"], batch["o_custkey"], batch["status"], batch["o_totalprice"], strict=True):
+                values = [int(key), int(customer), status, float(price)]
+                previous = writer.add(wal.record(int(key) // 20, previous, wal.INSERT, 500 + int(key) % 2, wal.form(values, _WAL_TYPES), struct.pack("<HB", 1, 0)))
+        made = writer.close()
+        yield pd.DataFrame({"name": list(made), "content": list(made.values())})
+
+    return o.repartition(8, "o_orderkey").mapInPandas(run, "name string, content binary")
+
+
+@query("SELECT count(*) AS records, CAST(sum(o_orderkey // 20) AS BIGINT) AS xids FROM orders")
+def record_split(spark, d):
+    from ..sources import wal
+
+    records = wal.log_records(_segments(spark, d), 1 << 16)
+    xid = sum((F.conv(F.hex(F.substring("data", i + 5, 1)), 16, 10).cast("long") * (1 << 8 * i) for i in range(4)), F.lit(0))
+    return records.agg(F.count("*").alias("records"), F.sum(xid).alias("xids"))
+
+
+@query("SELECT o_orderkey // 20 AS xid, 500 + o_orderkey % 2 AS relfilenode, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS customer, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, o_totalprice AS price FROM orders")
+def insert_project(spark, d):
+    from ..sources import wal
+
+    rows = wal.heap_rows(wal.log_records(_segments(spark, d), 1 << 16), {500: _WAL_TYPES, 501: _WAL_TYPES})
+    a = F.col("after")
+    return rows.select("xid", "relfilenode", a[0].alias("k"), a[1].alias("customer"), a[2].alias("status"), a[3].cast("double").alias("price"))
+
+
+@query("SELECT lsn, xid, op, b_status, a_status FROM log", log=True)
+def record_round_trip(spark, d):
+    from ..sources import records
+
+    log = orders_log(spark, d)
+    names = log.schema["after"].dataType.names
+
+    def image(c: str) -> F.Column:
+        return F.when(F.col(c).isNotNull(), F.array(*[F.col(f"{c}.{n}").cast("string") for n in names])).alias(c)
+
+    files = records.encode_files(log.select("lsn", "xid", "op", "relid", image("before"), image("after")), {ORDERS_RELID: names}, file_bytes=1 << 16)
+    rows = records.decode_files(files).where(F.col("kind").isin("insert", "update", "delete"))
+    body = F.from_json("body", "before array<array<string>>, after array<array<string>>")
+    out = rows.select("lsn", "xid", F.upper(F.substring("kind", 1, 1)).alias("op"), body.alias("b"))
+    at = F.lit(names.index("status"))
+    return out.select("lsn", "xid", "op", F.get(F.get("b.before", at), F.lit(1)).alias("b_status"), F.get(F.get("b.after", at), F.lit(1)).alias("a_status"))
+
+
+@query("SELECT xid, count(*) AS n FROM log WHERE NOT (xid % 7 = 0 AND lsn <= 80 * xid + 40) GROUP BY xid", log=True)
+def abandoned_rows(spark, d):
+    log = orders_log(spark, d)
+    marks = log.where("xid % 7 = 0").select("xid", (80 * F.col("xid") + 40).alias("lsn")).distinct()
+    return transactions.abandon(log, marks).groupBy("xid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 3 THEN 5 ELSE l_orderkey % 10 END AS relid, count(*) AS n FROM lineitem GROUP BY ALL")
+def temporary_oids(spark, d):
+    moved = spark.createDataFrame([(3, "pg_temp_5"), (4, "temp_6"), (6, "pg_temp_x")], "oid long, name string")
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 10).alias("relid"))
+    return dictionary.real_oids(rows, moved).groupBy("l_orderkey", "relid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT op, count(*) AS n FROM log WHERE lsn >= 3000 GROUP BY op", log=True)
+def catalog_lsn_filter(spark, d):
+    return filters.recent_history(orders_log(spark, d), 3000).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query('SELECT c_custkey, c_name AS "table" FROM customer WHERE c_custkey % 4 <> 1')
+def ddl_switch(spark, d):
+    name = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("pg_toast_"), F.col("c_custkey"))).otherwise(F.col("c_name"))
+    rows = table(spark, d, "customer").select("c_custkey", name.alias("table"))
+    return filters.ddl_passes(rows, True).unionByName(filters.ddl_passes(rows, False))
+
+
+@query("SELECT lsn, xid, op, CASE WHEN k % 2 = 0 THEN 'class' ELSE 'type' END AS catalog, CASE WHEN op = 'D' THEN b_status ELSE a_status END AS status FROM log WHERE k % 3 <> 2", log=True)
+def catalog_entries(spark, d):
+    k = F.coalesce("before.k", "after.k")
+    log = orders_log(spark, d).withColumn("table", F.when(k % 3 == 2, "other").when(k % 2 == 0, "pg_class").otherwise("pg_type"))
+    return dictionary.history_entries(log, {"pg_class": "class", "pg_type": "type"}).select("lsn", "xid", "op", "catalog", F.col("image.status").alias("status"))
+
+
+@query("SELECT xid, count(*) AS statements, min(lsn) AS first_lsn, string_agg(op, '' ORDER BY lsn) AS ops FROM log WHERE xid % 11 <> 0 AND xid % 13 <> 1 GROUP BY xid", log=True)
+def stream_assembly(spark, d):
+    """Transactions of a stream of changes with their commits and aborts; those without an end wait."""
+    from ..streaming import assemble_stream
+
+    log, folder = orders_log(spark, d).select("lsn", "xid", "op"), _folder(spark)
+    ends = log.where("xid % 13 <> 1").groupBy("xid").agg((F.max("lsn") + 100_000_000).alias("lsn")).select("lsn", "xid", F.when(F.col("xid") % 11 == 0, "A").otherwise("C").alias("op"))
+    log.unionByName(ends).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+    assembled = assemble_stream(stream).select("xid", "statements", "first_lsn", "ops")
+    assembled.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(assembled.schema).parquet(f"{folder}/out")
+
+
 # metrics
 
 @query("SELECT event_type AS counter, user_id % 10 AS job, max(event_id) AS at, max(event_id) * 3 AS value FROM events GROUP BY ALL")
