@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidemark.operators.transactions import commit_order
 from tidemark.plans.logs import orders_log
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
@@ -53,8 +56,18 @@ def test_greedy_bundles_equal_a_fold(spark):
             assert r["bundle"] == number
 
 
-def test_every_query_has_sql_but_the_fold():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"txn_bundles_greedy"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_results_that_have_an_order_keep_it(spark):
+    rows = [(r["commit_lsn"], r["lsn"]) for r in QUERIES["commit_order"](spark, DATA).collect()]
+    assert rows == sorted(rows)
+    log = orders_log(spark, DATA).withColumn("commit_lsn", -F.col("lsn") % 1000)
+    rows = [(r["commit_lsn"], r["lsn"]) for r in commit_order(log).collect()]
+    assert rows == sorted(rows) and len({c for c, _ in rows}) > 100
+    batches = [(r["missing_count"], r["missing_map"]) for r in QUERIES["missing_map_batches"](spark, DATA).collect()]
+    assert batches == sorted(batches)
 
 
 def test_lsn_hex_takes_the_whole_log(spark, tmp_path):

@@ -26,7 +26,9 @@ def query(sql: str | None = None, log: bool = False) -> Callable[[Query], Query]
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {ORACLE_LOG}{',' if sql.lstrip().startswith('WITH ') else ''} {sql.lstrip().removeprefix('WITH ')}" if log else sql
+            body, recursive = sql.lstrip(), sql.lstrip().startswith("WITH RECURSIVE ")
+            rest = body.removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{ORACLE_LOG}{',' if rest != body else ''} {rest}" if log else sql
         return f
 
     return add
@@ -51,6 +53,16 @@ def final_state_orders(spark, d):
     return apply.merge(orders_base(spark, d), compact.compact(orders_log(spark, d), ["k"]), ["k"])
 
 
+@query(FINAL, log=True)
+def final_state_interleaved(spark, d):
+    """Transactions that interleave, and commit in another order than their changes were logged in."""
+    nth = F.col("lsn") % 4
+    group = F.coalesce("before.k", "after.k") % 50
+    # a key's changes belong to four transactions; of these the later one began to log earlier for other keys
+    log = orders_log(spark, d).withColumns({"xid": nth * 50 + group, "commit_lsn": (nth + 1) * 1_000_000_000 - group})
+    return apply.merge(orders_base(spark, d), compact.compact(log, ["k"], ["commit_lsn", "lsn"]), ["k"])
+
+
 @query(FINAL, log=True)
 def final_state_orders_by_row(spark, d):
     return apply.apply_rows(orders_base(spark, d), orders_log(spark, d), ["k"])
@@ -294,7 +306,17 @@ def txn_bundles(spark, d):
     return out.groupBy("bundle").agg(F.count("*").alias("txns"), F.sum("statements").alias("statements"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE t AS (SELECT xid, CAST(floor(xid / 100) AS BIGINT) AS stream, count(*) AS statements, row_number() OVER (PARTITION BY floor(xid / 100) ORDER BY max(lsn)) AS n FROM log GROUP BY xid),
+r AS (
+  SELECT xid, stream, statements, n, CAST(0 AS BIGINT) AS bundle, statements AS used FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.xid, t.stream, t.statements, t.n,
+    CASE WHEN t.statements >= 50 OR r.used + t.statements >= 50 OR r.used >= 50 THEN r.bundle + 1 ELSE r.bundle END,
+    CASE WHEN t.statements >= 50 OR r.used + t.statements >= 50 OR r.used >= 50 THEN t.statements ELSE r.used + t.statements END
+  FROM r JOIN t ON t.stream = r.stream AND t.n = r.n + 1)
+SELECT xid, stream, statements, bundle FROM r
+""", log=True)
 def txn_bundles_greedy(spark, d):
     txns = transactions.assemble(orders_log(spark, d)).withColumn("stream", F.floor(F.col("xid") / 100))
     return transactions.greedy_bundles(txns, 50, "stream").select("xid", "stream", "statements", "bundle")
