@@ -201,20 +201,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit([np.frombuffer(f[n].as_buffer(), "<i4") for n in order], np.array(got.column("y").to_pylist(), np.int64)[order])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: P(label 1) of each whole text; null and empty texts are scored as texts without features.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col``: P(label 1) of each whole text; null and empty texts are scored as texts without features.
 
-    A column that is called ``score`` already is replaced. All other columns and rows stay, repeated ones too.
+    A column that is called so already is replaced. All other columns and rows stay, repeated ones too.
     """
     from pyspark.sql import types as T
 
     handle = docs.sparkSession.sparkContext.broadcast(model)
-    rest = docs.drop("score")
+    rest = docs.drop(score_col)
     at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [handle.value.scores(raw, offsets) for _, _, raw, offsets in text_chunks(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, score_col])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(score_col, T.DoubleType())]))
