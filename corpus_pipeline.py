@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontam, lines, packing, quality, simhash
 from tidemark.llm.common import ensure_checkpoint_dir, table
 from tidemark.llm.queries import QUALITY_THRESHOLD, tokenizer_path
+from tidemark.sources.trail import Folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality.score(docs, model).where(F.col("score") >= QUALITY_THRESHOLD).drop("score")
+    return quality.score(docs, model, score_col="__score").where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet in the checkpoint folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's result is written as Parquet in the checkpoint folder and read again.
+
+    A result goes when the next stage's is written, so at most two copies of the corpus are there; the last one stays, as
+    the rows that are returned may still be read from it.
+    """
+    folder = Folder(spark, f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid4().hex}")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder.path}/{name}")
+        docs = spark.read.parquet(f"{folder.path}/{name}")
+        if before:
+            folder.delete(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
