@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,25 +116,27 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def _block_forest(distance: int, wide: list[str], wide_distance: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
+    def run(block: pa.Table) -> pa.Table:
         """A spanning forest of the links between the block's stored and searching nodes."""
-        left, right = block[block["side"] == 0], block[block["side"] == 1]
+        columns = {c: block.column(c).to_numpy() for c in ("side", "node", "fp", *wide)}
+        left, right = ({c: v[columns["side"] == s] for c, v in columns.items()} for s in (0, 1))
+        n_left, n_right = len(left["node"]), len(right["node"])
 
         def apart(column: str, rows: slice) -> np.ndarray:
-            x, y = (side[column].to_numpy(np.int64).view(np.uint64) for side in (left, right))
+            x, y = (np.ascontiguousarray(side[column], np.int64).view(np.uint64) for side in (left, right))
             return np.bitwise_count(x[rows, None] ^ y[None, :])
 
-        near = np.zeros((len(left), len(right)), bool)
-        for first in range(0, len(left), STRIP):
+        near = np.zeros((n_left, n_right), bool)
+        for first in range(0, n_left, STRIP):
             rows = slice(first, first + STRIP)
             near[rows] = apart("fp", rows) <= distance
             if wide:
                 near[rows] &= sum(apart(c, rows).astype(np.int16) for c in wide) <= wide_distance
-        names_left, names_right = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-        open_left, open_right = np.ones(len(left), bool), np.ones(len(right), bool)
+        names_left, names_right = left["node"], right["node"]
+        open_left, open_right = np.ones(n_left, bool), np.ones(n_right, bool)
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
-        for first in range(len(left)):
+        for first in range(n_left):
             if not open_left[first]:
                 continue
             open_left[first] = False
@@ -149,8 +150,9 @@ def _block_forest(distance: int, wide: list[str], wide_distance: int):
                     a.append(np.full(len(hit), names_left[x] if side == 0 else names_right[x]))
                     b.append(names_right[hit] if side == 0 else names_left[hit])
         none = np.zeros(0, np.int64)
-        out = pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-        return out[out["a"] != out["b"]]
+        ends = np.concatenate([none, *a]), np.concatenate([none, *b])
+        real = ends[0] != ends[1]
+        return pa.table({"a": ends[0][real], "b": ends[1][real]})
 
     return run
 
@@ -232,7 +234,7 @@ def _hot_links(rows: DataFrame, distance: int, wide: list[str], wide_distance: i
     what = ["key", "set", "node", *of, "side"]
     dealt = dealt.select(*what, own.alias("own"), F.explode(other).alias("other"))
     dealt = dealt.select(*what, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("b0"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("b1"))
-    return star.union(dealt.groupBy("key", "set", "b0", "b1").applyInPandas(_block_forest(distance, wide, wide_distance), "a long, b long"))
+    return star.union(dealt.groupBy("key", "set", "b0", "b1").applyInArrow(_block_forest(distance, wide, wide_distance), "a long, b long"))
 
 
 def band_links(nodes: DataFrame, bands: str, wide: list[str], wide_distance: int, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
