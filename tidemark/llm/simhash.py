@@ -98,12 +98,15 @@ def _beside(value: F.Column, tag: F.Column, width: int, radius: int) -> list[F.C
     return out
 
 
-def _keys(fp: str, radii: list[int]) -> tuple[F.Column, F.Column]:
-    """Arrays of table keys: where a fingerprint is stored, and where it looks: in the Hamming balls of its segments."""
+def _keys(fp: str, radii: list[int], first: int = 0) -> tuple[F.Column, F.Column]:
+    """Arrays of table keys: where a fingerprint is stored, and where it looks: in the Hamming balls of its segments.
+
+    ``first``: the number of its first segment, which tells its keys from those of other fingerprints.
+    """
     stored, sought = [], []
     for i, ((shift, width), radius) in enumerate(zip(_segments(len(radii)), radii, strict=True)):
         value = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(F.lit((1 << width) - 1))
-        tag = F.lit(i << 40)
+        tag = F.lit((first + i) << 40)
         stored.append(value.bitwiseOR(tag))
         sought += _beside(value, tag, width, radius)
     return F.array(*stored), F.concat(*sought)
@@ -169,23 +172,43 @@ def near_links(nodes: DataFrame, distance: int = 4, segments: int | None = None,
     than ``hot_key`` nodes, where near copies in their thousands would make a pair each, ``_hot_links`` finds
     links that connect the same nodes.
     """
-    wide = wide or []
-    radii = _radii(distance, segments or choose_segments(distance, nodes.count()))
-    if max(radii) > 2:
+    return _search(nodes, ["fp"], None, distance, segments, wide or [], wide_distance, hot_key, block)
+
+
+def _search(nodes: DataFrame, prints: list[str], bands: str | None, distance: int, segments: int | None, wide: list[str], wide_distance: int, hot_key: int, block: int) -> DataFrame:
+    """Links that connect what the links of ``near_links`` by each of ``prints`` and those of ``band_links`` would connect together.
+
+    All keys lie in one table, as each search on its own would be another pass of joins. A key's highest bits say which
+    fingerprint it belongs to; the bands' keys are negative, and their fingerprint is 0.
+    """
+    radii = _radii(distance, segments or choose_segments(distance, nodes.count())) if prints else []
+    if max(radii, default=0) > 2:
         raise ValueError("more segments are needed for this distance")
-    stored, sought = _keys("fp", radii)
-    held = nodes.select(F.explode(stored).alias("key"), "node", "fp")
-    seek = nodes.select(F.explode(sought).alias("key"), "node", "fp")
-    crowded = nodes.select(F.explode(stored).alias("key")).groupBy("key").count().where(F.col("count") > hot_key)
-    balls = [_ball(width, r) for (_, width), r in zip(_segments(len(radii)), radii, strict=True)]
-    flips = F.coalesce(*[F.when(F.shiftright("key", 40) == i, F.array(*map(F.lit, ball))) for i, ball in enumerate(balls)])
-    around = crowded.select("count", F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
+    m = len(radii)
+    keys = [_keys(p, radii, i * m) for i, p in enumerate(prints)]
+    if bands:
+        sign = F.lit(-(1 << 63)) if prints else F.lit(0)
+        keys.append((F.transform(bands, lambda x: x.bitwiseOR(sign)),) * 2)
+    is_band = lambda key: F.lit(True) if not prints else key < 0 if bands else F.lit(False)
+    of = [F.when(~is_band(F.col("key")) & (F.shiftright("key", 40) < (i + 1) * m), F.col(p)) for i, p in enumerate(prints)]
+    stored, sought = ([k[side] for k in keys] for side in (0, 1))
+
+    def keyed(arrays: list[F.Column]) -> DataFrame:
+        return nodes.select(F.explode(F.concat(*arrays)).alias("key"), "node", *prints).select("key", "node", F.coalesce(*of, F.lit(0).cast("long")).alias("fp"))
+
+    held, seek = keyed(stored), keyed(sought)
+    crowded = held.groupBy("key").count().where(F.col("count") > hot_key)
+    balls = [_ball(width, r) for (_, width), r in zip(_segments(m), radii, strict=True)] * len(prints) if prints else []
+    flips = [F.when(~is_band(F.col("key")) & (F.shiftright("key", 40) == i), F.array(*map(F.lit, ball))) for i, ball in enumerate(balls)]
+    around = crowded.select("count", F.explode(F.transform(F.coalesce(*flips, F.array(F.lit(0))), lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
     # a bound of a key's rows: those of crowded keys around it, and of all others in the ball
-    hot = cut(around.groupBy("key").agg((2 * F.sum("count") + hot_key * max(map(len, balls))).alias("weight")))
+    hot = cut(around.groupBy("key").agg((2 * F.sum("count") + hot_key * max(map(len, balls), default=0)).alias("weight")))
     any_hot = bool(hot.take(1))
     cold = join_hot(seek, hot, ["key"], "weight", "left_anti") if any_hot else seek
 
-    near = (F.col("s.key") == F.col("h.key")) & (F.col("s.node") != F.col("h.node")) & (F.bit_count(F.col("s.fp").bitwiseXOR(F.col("h.fp"))) <= distance)
+    # both ends look up a band's key, so one direction will do
+    other = F.when(is_band(F.col("s.key")), F.col("s.node") < F.col("h.node")).otherwise(F.col("s.node") != F.col("h.node"))
+    near = (F.col("s.key") == F.col("h.key")) & other & (F.bit_count(F.col("s.fp").bitwiseXOR(F.col("h.fp"))) <= distance)
     pairs = cold.alias("s").join(held.alias("h"), near).select(F.col("s.node").alias("a"), F.col("h.node").alias("b"))
     if wide:
         # candidates are few beside the keys, so only they are joined to the other fingerprints
@@ -243,20 +266,7 @@ def band_links(nodes: DataFrame, bands: str, wide: list[str], wide_distance: int
     A pair is linked if its fingerprints ``wide`` differ in at most ``wide_distance`` bits together. Keys with
     more than ``hot_key`` nodes are searched as in ``near_links``.
     """
-    keyed = nodes.select(F.explode(bands).alias("key"), "node", *wide)
-    hot = cut(keyed.groupBy("key").agg(F.count("*").alias("weight")).where(F.col("weight") > hot_key))
-    any_hot = bool(hot.take(1))
-    cold = join_hot(keyed, hot, ["key"], "weight", "left_anti") if any_hot else keyed
-    total = F.lit(0)
-    for c in wide:
-        total = total + F.bit_count(F.col(f"s.{c}").bitwiseXOR(F.col(f"h.{c}")))
-    near = (F.col("s.key") == F.col("h.key")) & (F.col("s.node") < F.col("h.node")) & (total <= wide_distance)
-    pairs = cold.alias("s").join(cold.alias("h"), near).select(F.col("s.node").alias("a"), F.col("h.node").alias("b"))
-    if not any_hot:
-        return pairs
-    rows = cut(join_hot(keyed, hot, ["key"], "weight", "left_semi").select("key", "node", *wide, F.lit(0).cast("long").alias("fp")))
-    both = rows.withColumn("side", F.lit(0)).union(rows.withColumn("side", F.lit(1)))
-    return pairs.union(_hot_links(both, 64, wide, wide_distance, block))
+    return _search(nodes, [], bands, 0, None, wide, wide_distance, hot_key, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, segments: int | None = None, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
@@ -352,9 +362,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, di
     prints = cut(prints.select("id", "th", *every, F.xxhash64(*every).alias("s0"), F.xxhash64(F.lit(1), *every).alias("s1")))
     single = prints.groupBy("s0", "s1").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("weight"), *[F.any_value(c).alias(c) for c in every])
     single = cut(single.withColumn("node", F.monotonically_increasing_id()))
-    found = [near_links(single.select("node", F.col(k).alias("fp"), *JUDGE), distance, segments, JUDGE, judge_distance) for k in SEARCH]
-    found.append(band_links(single, "bands", JUDGE, judge_distance))
-    parts = cut(connected_components(reduce(DataFrame.union, found), "a", "b"))
+    links = _search(single, SEARCH, "bands", distance, segments, JUDGE, judge_distance, HOT_KEY, BLOCK)
+    parts = cut(connected_components(links, "a", "b"))
     of = single.select("s0", "s1", "weight", "first", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("node", "component")
     named = cut(of.groupBy("part").agg(F.min("first").alias("least"), F.count("*").alias("size")))
     return prints.select("id", "th", "s0", "s1"), cut(join_hot(of, named, ["part"], "size").select("s0", "s1", "weight", F.col("least").alias("first")))
