@@ -79,3 +79,13 @@ def test_lsn_hex_takes_the_whole_log(spark, tmp_path):
     for r in got:
         p = r["lsn"] * 4294967301
         assert (r["text"], r["back"]) == (f"{p >> 32:X}/{p & 0xFFFFFFFF:X}", p)
+
+
+def test_a_key_that_moves_to_one_in_use_leaves_both_rows(spark, tmp_path):
+    rows = [(k, "O", 1.5, "1-URGENT") for k in (13, 14, 1_000_000, 1_000_013, 1_000_026, 13_000_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = c.execute(ORACLE_SQL["key_change_merge"]).fetchall()
+    assert len({r[0] for r in want}) < len(want)
+    assert _sorted(map(tuple, QUERIES["key_change_merge"](spark, str(tmp_path)).collect())) == _sorted(want)

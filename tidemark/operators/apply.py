@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge(target: DataFrame, net: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` after the net changes (keys, net, after): one join on the keys, both sides shuffled once."""
+def merge(target: DataFrame, net: DataFrame, keys: list[str], upsert: bool = True) -> DataFrame:
+    """``target`` after the net changes (keys, net, after): one join on the keys, both sides shuffled once.
+
+    upsert: a net insert takes the place of a row that has its key already; if not, both are there, as in a table
+    whose key isn't enforced.
+    """
     columns = target.columns
     t = target.select(*[F.col(k).alias(f"__t_{k}") for k in keys], F.struct(*columns).alias("__row"))
     n = net.select(*[F.col(k).alias(f"__n_{k}") for k in keys], F.col("net").alias("__net"), F.col("after").alias("__after"))
     cond = [F.col(f"__t_{k}") == F.col(f"__n_{k}") for k in keys]
+    if not upsert:
+        cond.append(F.col("__net") != "I")
     joined = t.join(n, cond, "full_outer").where("__net IS NULL OR __net <> 'D'")
     return joined.select(*[F.when(F.col("__net").isNull(), F.col(f"__row.{c}")).otherwise(F.col(f"__after.{c}")).alias(c) for c in columns])
 
