@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.functions import spark_type
+from tidemark.functions import spark_type, time_lag
 from tidemark.plans.ddl import Assembler, Column, Statement, render_expression
 from tidemark.plans.jobs import Client, CommandError, Manager, decode_rows, encode_rows, execute, main, serve
 from tidemark.plans.statements import Prepared
@@ -50,6 +51,12 @@ def test_types():
     assert spark_type("numeric") == "string" and spark_type("_int4") == "array<int>"
 
 
+def test_time_lag_of_large_numbers(spark):
+    x = 13_223_142 * 3_600_000_000 - 1  # floating point makes a whole hour of it
+    rows = spark.createDataFrame([(x,), (x + 1,), (59_999_999,), (-1,)], "x long").select(time_lag(F.col("x"))).collect()
+    assert [r[0] for r in rows] == ["13223141h 59m 59s", "13223142h 0m 0s", "59s 999999us", "0s -1us"]
+
+
 def test_job_life_and_errors(tmp_path, capsys):
     m = Manager(str(tmp_path))
     out = []

@@ -56,7 +56,8 @@ def time_lag(micros: Column) -> Column:
     """Microseconds as ``Xh Xm Xs``, ``Xm Xs`` or ``Xs Yus``."""
 
     def whole(unit: int) -> Column:
-        return F.floor(micros / F.lit(unit)).cast("long")
+        # not by floating point, which has 53 bits
+        return F.call_function("div", micros.cast("long"), F.lit(unit))
 
     h, m, s = whole(3_600_000_000), whole(60_000_000) % 60, whole(1_000_000) % 60
     return (
