@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import spark_type, time_lag
-from tidemark.plans.ddl import Assembler, Column, Statement, render_expression
+from tidemark.plans.ddl import Assembler, Column, Statement, render_expression, statements_of
 from tidemark.plans.jobs import Client, CommandError, Manager, decode_rows, encode_rows, execute, main, serve
 from tidemark.plans.statements import Prepared
 
@@ -38,6 +38,20 @@ def test_catalog_rows_become_statements():
     assert [s.sql() for s in a.finish()] == ["CREATE TABLE public.t (id int4 NOT NULL)", "ALTER TABLE public.old ADD COLUMN c text", "DROP INDEX public.i"]
 
 
+def test_transactions_are_folded_from_batches(spark):
+    names = [(x, i, "namespace", "I", f'{{"name": "s{i}"}}') for x in (None, 1, 2, 2**60 + 1) for i in range(5)]
+    rows = spark.createDataFrame(names[::-1], "xid long, lsn long, catalog string, op string, row string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = statements_of(rows)
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(x, i, "create_schema", f"CREATE SCHEMA s{i}") for x in (None, 1, 2, 2**60 + 1) for i in range(5)}
+    # no call of Python for each transaction
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prepared_texts_are_shared():
     p = Prepared()
     assert p.insert("public", "t", ["a", "b"]) == "query_0" == p.insert("public", "t", ["a", "b"])

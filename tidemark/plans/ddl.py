@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,17 +270,34 @@ _CREATES = {
 def statements_of(catalog_rows: DataFrame) -> DataFrame:
     """``xid, no, kind, sql`` of the statements that each transaction's catalog rows (xid, lsn, catalog, op, row as JSON) make.
 
-    A transaction's catalog rows are few and are folded in order in one task; transactions are dealt over all tasks.
+    Transactions are dealt over all tasks, and each one's rows are folded in order as they flow through its task in batches.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fold = Assembler()
-        for r in rows.sort_values("lsn").itertuples(index=False):
-            fold.feed(r.catalog, r.op, json.loads(r.row))
-        made = fold.finish()
-        return pd.DataFrame({"xid": [key[0]] * len(made), "no": range(len(made)), "kind": [s.kind for s in made], "sql": [s.sql() for s in made]})
-
-    return catalog_rows.groupBy("xid").applyInPandas(run, "xid long, no long, kind string, sql string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fold = None, None
+
+        def made(xid: int | None, fold: Assembler) -> list[tuple]:
+            return [(xid, no, s.kind, s.sql()) for no, s in enumerate(fold.finish())]
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(made_schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made_schema, strict=True)], schema=made_schema)
+
+        for batch in batches:
+            out = []
+            for xid, catalog, op, row in zip(*[batch.column(c).to_pylist() for c in ("xid", "catalog", "op", "row")], strict=True):
+                if fold is None or xid != at:
+                    if fold is not None:
+                        out += made(at, fold)
+                    at, fold = xid, Assembler()
+                fold.feed(catalog, op, json.loads(row))
+            yield batch_of(out)
+        if fold is not None:
+            yield batch_of(made(at, fold))
+
+    made_schema = pa.schema([("xid", pa.int64()), ("no", pa.int64()), ("kind", pa.string()), ("sql", pa.string())])
+    rows = catalog_rows.select(F.col("xid").cast("long").alias("xid"), "lsn", "catalog", "op", "row")
+    return rows.repartition("xid").sortWithinPartitions("xid", "lsn").mapInArrow(run, "xid long, no long, kind string, sql string")
 
 
 class Assembler:
