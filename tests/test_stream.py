@@ -63,3 +63,19 @@ def test_catalog_snapshot(spark):
         assert [(r["table"], r["attnum"], r["name"], r["type"]) for r in rows] == [("t", 1, "a", "int"), ("t", 2, "b", "string")]
     finally:
         spark.sql("DROP DATABASE snap CASCADE")
+
+
+def test_a_big_commit_is_sorted_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.trail import read_trail
+
+    image = "struct<k:bigint,v:string>"
+    rows = spark.range(4000).selectExpr("7L AS lsn", "7L AS commit_lsn", "1L AS xid", "'I' AS op", "'t' AS table", f"CAST(null AS {image}) AS before", "struct(id AS k, 'x' AS v) AS after")
+    write_trail(rows, str(tmp_path / "log"), 4, whole=False)
+    sizes = [r["count"] for r in read_trail(spark, str(tmp_path / "log"), rows.schema["after"].dataType).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 4000 and max(sizes) < 2000
+    target = TargetTable(spark, str(tmp_path / "t"), ["k"])
+    target.write(spark.createDataFrame([], "k long, v string"))
+    start_apply(stream_trail(spark, str(tmp_path / "log"), rows.schema["after"].dataType, 4), target, str(tmp_path / "c")).awaitTermination()
+    assert target.read().count() == 4000

@@ -80,7 +80,8 @@ def segments(log: DataFrame, order: str = "lsn", table: str = "table") -> DataFr
 def after_truncate(log: DataFrame, order: str = "lsn", table: str = "table") -> DataFrame:
     """Row changes after the last truncate of their table."""
     last = log.where("op = 'T'").groupBy(table).agg(F.max(order).alias("__last"))
-    return log.where("op <> 'T'").join(last, table, "left").where(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).drop("__last")
+    # a row for each truncated table: sent to all tasks, as a shuffle by table would bring a table's log to one
+    return log.where("op <> 'T'").join(F.broadcast(last), table, "left").where(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).drop("__last")
 
 
 def complement(newer: str, older: str, missing: str, columns: list[str]) -> list[Column]:

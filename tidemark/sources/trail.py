@@ -52,9 +52,27 @@ class Folder:
         self.fs.delete(self._path(f"{self.path}/{name}"), True)
 
 
-def write_trail(log: DataFrame, folder: str, files: int = 1) -> None:
-    """Appends a log's rows, range-partitioned by commit so that each file holds a stretch of the log."""
-    log.repartitionByRange(files, "commit_lsn").sortWithinPartitions("commit_lsn", "lsn").write.mode("append").parquet(folder)
+#: Rows of a trail's file, so that a task sorts no more of them however long the log is.
+FILE_ROWS = 500_000
+
+
+def trail_files(log: DataFrame, least: int = 1) -> int:
+    """How many files a log takes, by a count of its rows."""
+    return max(least, -(-log.count() // FILE_ROWS))
+
+
+def write_trail(log: DataFrame, folder: str, files: int = 1, whole: bool = True) -> None:
+    """Appends a log's rows, range-partitioned by commit so that each file holds a stretch of the log.
+
+    whole: a commit lies in one file. If not, it may lie in several: no task sorts all of a big transaction, but a
+    stream must then take all files at once (``files_per_trigger``), as an apply leaves out commits that it has had.
+    """
+    if whole:
+        ranges = log.repartitionByRange(files, "commit_lsn")
+    else:
+        # rows may share an LSN, too: what has no order is dealt by where it stands in the input
+        ranges = log.withColumn("__nth", F.monotonically_increasing_id()).repartitionByRange(files, "commit_lsn", "lsn", "__nth").drop("__nth")
+    ranges.sortWithinPartitions("commit_lsn", "lsn").write.mode("append").parquet(folder)
 
 
 def read_trail(spark: SparkSession, folder: str, image: T.DataType | None = None, after: int | None = None) -> DataFrame:
@@ -143,7 +161,8 @@ class TargetTable:
         batch = max(batch, state["batch"])
         version = state["version"] + 1
         place = f"v{version}"
-        rows.withColumn("__bucket", self.of_bucket()).repartition(self.buckets if buckets is None else max(1, len(buckets)), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder.path}/{place}")
+        # a large bucket is written by several tasks, small ones share a task
+        rows.withColumn("__bucket", self.of_bucket()).hint("rebalance", "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder.path}/{place}")
         new = {n.removeprefix("__bucket="): place for n in Folder(self.spark, f"{self.folder.path}/{place}").names() if n.startswith("__bucket=")}
         old = {} if buckets is None else {b: p for b, p in state["places"].items() if int(b) not in buckets}
         manifest = {"version": version, "batch": batch, "lsn": lsn, "xid": xid, "places": {**old, **new}, "schema": rows.schema.json()}
